@@ -1,13 +1,14 @@
-"""Token counts: pieces are counted once per distinct pre-token and joined to pre-token frequencies.
+"""Token counts: pieces are counted once per distinct pre-token, joined to pre-token frequencies and summed.
 
 A pre-token here is a run of characters between ASCII white space. No token of the vocabularies that this operator takes
-crosses white space, so the library's count for a text is the sum of its counts for the text's pre-tokens.
+crosses white space, so the library's count for a text is the sum of its counts for the text's pre-tokens, each times its
+frequency. No list of ids of a text is made.
 
-Plan: one pass over the texts makes frequency rows, coded by a dictionary for each run of documents (about 8 MB of text);
-the dictionaries' entries meet in one distinct list, whose pieces the library counts; the counts go back to the
-dictionaries and from there to the documents. Nothing is broadcast and no list of ids is made. What is shuffled are
-dictionary entries and coded frequencies, a fraction of the text. The first pass is written to the shared folder, so that
-a lost executor repeats only its part and run numbers stay as they are.
+The distinct list is kept by each task for the documents that it reads, not for the whole corpus: rare pre-tokens are most
+of any list, so a global list with its join back to the documents' frequencies moves more data than the texts hold (see
+the README for figures). The list is emptied, and begun anew, beyond KEPT entries, so memory is bounded; a pre-token is
+then counted again, which changes no result. One narrow pass, no shuffle: any skew between keys has no effect, and a lost
+executor repeats only its own documents.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null. Repeated rows give repeated results.
 An empty table gives an empty result. Other columns of the input are ignored.
@@ -15,26 +16,23 @@ An empty table gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import random
+import os
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, utf8, written
+from .common import slices, utf8
 
-RUN_BYTES, RUN_WORDS = 8 << 20, 60_000
-_CODED = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("wide", pa.bool_()), ("codes", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.string()))])
+#: Entries of a task's list, bytes of text whose new pre-tokens are counted at once.
+KEPT, AT_ONCE = 1_000_000, 4 << 20
 
 
 @lru_cache(2)
 def tokenizer(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -47,45 +45,22 @@ def tokenizer(path: str):
 def n_pieces(words: list[str], path: str) -> list[int]:
     """Tokens of each word as the library encodes it, without added special tokens."""
     t = tokenizer(path)
-    return [len(e.ids) for i in range(0, len(words), 2000) for e in t.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
-
-
-def _coded(batches):
-    """Frequency rows of documents, and after each run of documents a row with its dictionary."""
-    held: list[tuple] = []
-    code: dict[bytes, int] = {}
-    size = 0
+    return [len(e) for i in range(0, len(words), 2000) for e in t.encode_batch_fast(words[i : i + 2000], add_special_tokens=False)]
 
-    def flush():
-        run = random.SystemRandom().getrandbits(62)
-        wide = len(code) > 65535
-        yield rows(_CODED, run=[run] * len(held), doc_id=[h[0] for h in held], n_bytes=[h[1] for h in held], wide=[wide] * len(held),
-                   codes=[np.array(h[2], dtype=np.uint32 if wide else np.uint16).tobytes() for h in held], counts=[h[3].tobytes() for h in held])
-        yield rows(_CODED, run=[run], words=[[w.decode() for w in code]])
 
+def _counted(batches, vocabulary: str):
+    known: dict[bytes, int] = {}
     for batch in batches:
         at, data = utf8(batch.column("text"))
-        for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-            text = data[at[k] : at[k + 1]].tobytes()
-            found = Counter(text.split())
-            counts = np.fromiter(found.values(), dtype=np.uint32, count=len(found))
-            held.append((doc_id, len(text), [code.setdefault(w, len(code)) for w in found], counts.astype(np.uint8) if not len(counts) or counts.max() < 256 else counts))
-            size += len(text)
-            if size > RUN_BYTES or len(code) > RUN_WORDS:
-                yield from flush()
-                held, code, size = [], {}, 0
-    if held:
-        yield from flush()
-
-
-def _summed(docs: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-    table = np.zeros(int(pieces["code"].max()) + 1 if len(pieces) else 0, dtype=np.int64)
-    table[pieces["code"].to_numpy()] = pieces["n"].to_numpy()
-    total = []
-    for wide, codes, counts in zip(docs["wide"], docs["codes"], docs["counts"], strict=True):
-        c = np.frombuffer(codes, dtype=np.uint32 if wide else np.uint16)
-        total.append(int(table[c] @ np.frombuffer(counts, dtype=np.uint8 if len(counts) == len(c) else np.uint32).astype(np.int64)) if len(c) else 0)
-    return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": pd.Series(total, index=docs.index, dtype="int64")})
+        total = np.zeros(batch.num_rows, dtype=np.int64)
+        for lo, hi in slices(at, AT_ONCE):
+            freq = [Counter(data[at[k] : at[k + 1]].tobytes().split()) for k in range(lo, hi)]
+            if len(known) > KEPT:
+                known.clear()
+            new = list({w for f in freq for w in f if w not in known})
+            known.update(zip(new, n_pieces([w.decode() for w in new], vocabulary), strict=True))
+            total[lo:hi] = [sum(known[w] * n for w, n in f.items()) for f in freq]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
@@ -93,17 +68,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
     vocabulary: path of a tokenizers .json file whose pre-tokenizer never joins text over ASCII white space.
     """
-    coded = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _coded, "run long, doc_id long, n_bytes long, wide boolean, codes binary, counts binary, words array<string>"), "coded")
-    entries = coded.where("words is not null").select("run", F.posexplode("words").alias("code", "word"))
-
-    def counted(batches):
-        for b in batches:
-            words = b.column("word")
-            yield pa.RecordBatch.from_arrays([words, pa.array(n_pieces(words.to_pylist(), vocabulary), pa.int64())], names=["word", "n"])
-
-    pieces = entries.select("word").distinct().mapInArrow(counted, "word string, n long")
-    known = entries.join(pieces, "word").select(F.col("run").alias("of_run"), "code", "n")
-    freq = coded.where("words is null").select("run", "doc_id", "n_bytes", "wide", "codes", "counts")
-    out = freq.groupBy("run").cogroup(known.groupBy("of_run")).applyInPandas(_summed, "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(partial(_counted, vocabulary=vocabulary), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
