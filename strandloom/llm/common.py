@@ -25,11 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and fixes what was not deterministic."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and fixes what was not deterministic.
+
+    The shuffle files behind the table are of no more use and go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/strandloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
