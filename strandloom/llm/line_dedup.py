@@ -1,9 +1,10 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
 A line is normalised (lower case, letters and digits, single spaces) and named by a 64-bit hash of that. Its 64-bit SimHash
-is the majority of its words' hashes at each bit; the counts are sums of packed eight-bit lanes, in generated code, of at
-most 255 words a row, and rows of a longer line are added up in wider lanes. The SimHash is cut into five blocks; lines
-that agree in two blocks (any of ten pairs) are candidates, so every pair that differs in at most three bits is one. A
+is the majority of its word pairs' hashes at each bit (single words are too alike between lines of one language); the counts
+are sums of packed 16-bit lanes, in generated code, and rows of a line of over 32,767 words are added up in wider lanes. The
+SimHash is cut into four blocks; lines that agree in two blocks (any of six pairs, 32 bits) are candidates, so every pair
+that differs in at most two bits is one, and most of those that differ in three or four. A
 candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance is at most 1 - similarity of
 the longer line. Connected lines are a group, and its first occurrence (by document, then line) stays.
 
@@ -29,7 +30,7 @@ from .common import written
 from .components import components
 
 #: Blocks of a SimHash and how many must agree, lines of a small bucket, leaders of a round, words added up in one 16-bit lane.
-BLOCKS, AGREE, SMALL, LEADERS, PIECE = 5, 2, 16, 4, 32_767
+BLOCKS, AGREE, SMALL, LEADERS, PIECE = 4, 2, 16, 4, 32_767
 LAST = (1 << 63) - 1
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
@@ -58,9 +59,9 @@ def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no letters or digits."""
     d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     d = d.select("doc_id", "text_id", "row", "line_no", normalised(F.col("line")).alias("line"))
-    words = d.select("doc_id", "text_id", "row", "line_no", F.when(F.col("line") != "", F.xxhash64("line")).alias("line_id"), F.length("line").alias("size"), F.posexplode(F.split("line", " ")).alias("at", "word"))
+    words = d.select("doc_id", "text_id", "row", "line_no", F.when(F.col("line") != "", F.xxhash64("line")).alias("line_id"), F.length("line").alias("size"), F.posexplode(F.arrays_zip(F.split("line", " ").alias("word"), F.slice(F.split("line", " "), F.lit(2), F.greatest(F.length("line"), F.lit(1))).alias("then"))).alias("at", "two"))
     key = ["doc_id", "text_id", "row", "line_no", "line_id", "size"]
-    words = words.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.xxhash64("word").alias("h"))
+    words = words.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.xxhash64("two.word", "two.then").alias("h"))
     lane, half = _long(0x0001000100010001), _long(0x0000FFFF0000FFFF)
     counted = words.groupBy(*key, "piece").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lane)).alias(f"s{i}") for i in range(16)))
     halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(16)] + [F.shiftrightunsigned(f"s{i}", 16).bitwiseAND(half) for i in range(16)]
@@ -120,7 +121,7 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -
 
 def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 12) -> DataFrame:
     """(doc_id, text_id, flags, n_lines, n_left): for every document that loses a line, whether each of its lines goes."""
-    all_lines = written(lines(docs), "lines")
+    all_lines = lines(docs)
     place = F.struct("doc_id", "text_id", "line_no")
     first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("simhash").alias("simhash"))
     first = written(first.select("line_id", "at.*", "n", "size", "simhash"), "first")
