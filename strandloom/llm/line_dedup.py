@@ -1,11 +1,10 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
 A line is normalised (lower case, letters and digits, single spaces) and named by a 64-bit hash of that. Its 64-bit SimHash
-is the majority of its word pairs' hashes at each bit (single words are too alike between lines of one language); the counts
-are sums of packed 16-bit lanes, in generated code, and rows of a line of over 32,767 words are added up in wider lanes. The
-SimHash is cut into four blocks; lines that agree in two blocks (any of six pairs, 32 bits) are candidates, so every pair
-that differs in at most two bits is one, and most of those that differ in three or four. A
-candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance is at most 1 - similarity of
+is the majority of its distinct words' hashes at each bit (repeats of common words would make lines of one language alike);
+the counts are sums of packed 16-bit lanes, in generated code, and rows of a line of over 32,767 words are added up in wider
+lanes. The SimHash is cut into five blocks; lines that agree in two blocks (any of ten pairs) are candidates, so every pair
+that differs in at most three bits is one. A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance is at most 1 - similarity of
 the longer line. Connected lines are a group, and its first occurrence (by document, then line) stays.
 
 Buckets of up to SMALL lines give all their pairs. In a larger bucket the first line is compared with all others; those
@@ -30,7 +29,7 @@ from .common import written
 from .components import components
 
 #: Blocks of a SimHash and how many must agree, lines of a small bucket, leaders of a round, words added up in one 16-bit lane.
-BLOCKS, AGREE, SMALL, LEADERS, PIECE = 4, 2, 16, 4, 32_767
+BLOCKS, AGREE, SMALL, LEADERS, PIECE = 5, 2, 16, 4, 32_767
 LAST = (1 << 63) - 1
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
@@ -59,9 +58,9 @@ def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no letters or digits."""
     d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     d = d.select("doc_id", "text_id", "row", "line_no", normalised(F.col("line")).alias("line"))
-    words = d.select("doc_id", "text_id", "row", "line_no", F.when(F.col("line") != "", F.xxhash64("line")).alias("line_id"), F.length("line").alias("size"), F.posexplode(F.arrays_zip(F.split("line", " ").alias("word"), F.slice(F.split("line", " "), F.lit(2), F.greatest(F.length("line"), F.lit(1))).alias("then"))).alias("at", "two"))
+    words = d.select("doc_id", "text_id", "row", "line_no", F.when(F.col("line") != "", F.xxhash64("line")).alias("line_id"), F.length("line").alias("size"), F.posexplode(F.array_distinct(F.split("line", " "))).alias("at", "word"))
     key = ["doc_id", "text_id", "row", "line_no", "line_id", "size"]
-    words = words.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.xxhash64("two.word", "two.then").alias("h"))
+    words = words.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.xxhash64("word").alias("h"))
     lane, half = _long(0x0001000100010001), _long(0x0000FFFF0000FFFF)
     counted = words.groupBy(*key, "piece").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lane)).alias(f"s{i}") for i in range(16)))
     halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(16)] + [F.shiftrightunsigned(f"s{i}", 16).bitwiseAND(half) for i in range(16)]
@@ -92,15 +91,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: i
 def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -> DataFrame:
     """Links (a, b) between ids of like lines. known: (line_id, doc_id, text_id, line_no, size, simhash) of each distinct line's first occurrence."""
     keyed = known.select(F.explode(block_keys("simhash")).alias("key"), "line_id")
-    members = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
-    # the lines' texts, from the documents of their first occurrences
-    wanted = known.join(members.select("line_id").distinct(), "line_id", "left_semi")
+    members = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    members = written(members.join(known.select("line_id", "simhash"), "line_id"), "buckets")
+    small = members.where(F.col("n") <= SMALL)
+    side = lambda x: small.select("key", F.col("line_id").alias(x), F.col("simhash").alias(f"{x}_hash"))
+    near = F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance
+    pairs = written(side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
+    # texts of what is to be compared, from the documents of the lines' first occurrences
+    compared = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(members.where(F.col("n") > SMALL).select("line_id")).distinct()
+    wanted = written(known.join(compared, "line_id", "left_semi"), "wanted")
     by_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("line_no", "line_id", "simhash")).alias("wanted"))
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.split("text", "\n", -1).alias("all")).join(by_doc, ["doc_id", "text_id"])
     texts = texts.select("all", F.inline("wanted")).select("line_id", "simhash", normalised(F.element_at("all", F.col("line_no") + 1)).alias("line")).distinct()
     texts = written(texts, "texts")
-    small = members.where(F.col("n") <= SMALL).select("key", "line_id")
-    pairs = small.withColumnRenamed("line_id", "a").join(small.withColumnRenamed("line_id", "b"), "key").where("a < b").select("a", "b")
     found = written(_verified(pairs, texts, similarity, distance), "like")
     open_ = written(members.where(F.col("n") > SMALL).select("key", "line_id").join(wanted.select("line_id", "doc_id", "text_id", "line_no"), "line_id"), "open")
     every = open_.select("key", F.col("line_id").alias("b"))
