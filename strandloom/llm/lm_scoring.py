@@ -29,7 +29,7 @@ from . import context_tree as ctw
 from .common import slices, utf8, written
 from .words import lowered, mixed, word_hashes, word_spans
 
-DEPTH, BLOCK, AT_ONCE, PENDING = 5, 8192, 2 << 20, 4 << 20
+DEPTH, BLOCK, AT_ONCE, PENDING = 5, 4096, 1 << 20, 2 << 20
 END = 0xFF
 _PART = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -54,31 +54,29 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-class _Texts:
-    """Grams and words of some texts, in slices of about AT_ONCE bytes."""
-
-    def __init__(self, at: np.ndarray, data: np.ndarray, depth: int):
-        self.at, self.data, self.depth = at, data, depth
-
-    def __iter__(self):
-        """First and last text of a slice, each gram and its text (counted from the first), each word and its text."""
-        for lo, hi in slices(self.at, AT_ONCE):
-            n = hi - lo
-            low = lowered(self.data[self.at[lo] : self.at[hi]])
-            own = self.at[lo : hi + 1] - self.at[lo]
-            size = np.diff(own)
-            # every text gets an end byte and the context of the next one's beginning
-            begin = own[:-1] + self.depth * np.arange(1, n + 1)
-            padded = np.full(self.depth * (n + 1) + len(low), END, dtype=np.uint8)
-            text = np.repeat(np.arange(n), size)
-            padded[np.arange(len(low)) + self.depth * (text + 1)] = low
-            g = ctw.grams(padded, self.depth)
-            there = np.zeros(len(g) + 1, dtype=np.int32)  # from each text's first byte to its end byte
-            np.add.at(there, begin - self.depth, 1)
-            np.add.at(there, np.minimum(begin + size + 1 - self.depth, len(g)), -1)
-            mask = np.cumsum(there[:-1]) > 0
-            starts, ends, first = word_spans(low, own)
-            yield lo, hi, g[mask], np.repeat(np.arange(n), size + 1), word_hashes(low, starts, ends), np.repeat(np.arange(n), np.diff(first))
+def _grams(at: np.ndarray, data: np.ndarray, depth: int):
+    """For slices of about AT_ONCE bytes: first and last text, each gram and its text (counted from the first)."""
+    for lo, hi in slices(at, AT_ONCE):
+        n = hi - lo
+        low = lowered(data[at[lo] : at[hi]])
+        own = at[lo : hi + 1] - at[lo]
+        size = np.diff(own)
+        # every text gets an end byte and the context of the next one's beginning
+        begin = own[:-1] + depth * np.arange(1, n + 1)
+        padded = np.full(depth * (n + 1) + len(low), END, dtype=np.uint8)
+        padded[np.arange(len(low)) + np.repeat(depth * np.arange(1, n + 1), size)] = low
+        edge = np.zeros(len(padded) - depth + 1, dtype=np.int8)  # from each text's first byte to its end byte
+        edge[begin - depth] += 1
+        edge[begin + size + 1 - depth] -= 1
+        yield lo, hi, ctw.grams(padded, depth)[np.cumsum(edge[:-1], dtype=np.int8) > 0], np.repeat(np.arange(n, dtype=np.int32), size + 1)
+
+
+def _words(at: np.ndarray, data: np.ndarray, depth: int):
+    """The same with the hashes of words."""
+    for lo, hi in slices(at, AT_ONCE):
+        low = lowered(data[at[lo] : at[hi]])
+        starts, ends, first = word_spans(low, at[lo : hi + 1] - at[lo])
+        yield lo, hi, word_hashes(low, starts, ends), np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
 
 
 def _bucketed(keys: np.ndarray, n: int, word: bool, depth: int) -> np.ndarray:
@@ -122,8 +120,7 @@ def _gathered(batches, n: int, depth: int):
         training = ~_column(rows, "held_out").to_numpy(zero_copy_only=False)
         for word in (False, True):
             parts, size = [], 0
-            for lo, _, g, of_g, w, of_w in _Texts(at, data, depth):
-                keys, of = (w, of_w) if word else (g, of_g)
+            for lo, _, keys, of in (_words if word else _grams)(at, data, depth):
                 own = training[lo + of]
                 for chosen, count in ((own, 1), (~own, 0)):
                     k, c = np.unique(keys[chosen], return_counts=True)
@@ -199,28 +196,26 @@ def _scored(batches, n: int, depth: int, total: int, distinct: int, ends: int):
         result = {"score": np.zeros(size), "base": np.full(size, np.log10(ends + 1) - log_z), "tokens": np.ones(size, np.int64), "known": np.full(size, int(ends > 0))}
         got = dict(zip(answers["bucket"].to_pylist(), answers["answer"], strict=True))
         for word in (False, True):
-            parts = []
-            for _, _, g, _, w, _ in _Texts(at, data, depth):
-                parts.append(np.unique(w if word else g))
-                if sum(map(len, parts)) > PENDING:
-                    parts = [np.unique(np.concatenate(parts))]
-            keys = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            seen, keys = [], np.zeros(0, np.uint64)
+            for lo, hi, k, of in (_words if word else _grams)(at, data, depth):
+                x, where = np.unique(k, return_inverse=True)
+                seen.append((lo, hi, x, where.astype(np.int32), of))
+                keys = np.union1d(keys, x)
             values = np.zeros(len(keys))
             of = _bucketed(keys, n, word, depth)
             order = np.argsort(of, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(of) else np.zeros(0, np.int64)
             for lo, hi in zip(cut, [*cut[1:], len(of)], strict=True):
                 values[order[lo:hi]] = np.frombuffer(got[int(of[order[lo]])].as_buffer(), dtype=np.uint32 if word else np.float64)
-            for lo, hi, g, of_g, w, of_w in _Texts(at, data, depth):
-                x, where = np.unique(w if word else g, return_inverse=True)
-                v = values[np.searchsorted(keys, x)][where]
-                add = lambda weights, of: np.bincount(of, weights=weights, minlength=hi - lo)  # noqa: B023, E731
+            for lo, hi, x, where, of in seen:
+                v = values[np.searchsorted(keys, x)]
+                add = lambda weights: np.bincount(of, weights=weights, minlength=hi - lo)  # noqa: B023, E731
                 if word:
-                    result["base"][lo:hi] += add(np.log10(v + 1) - log_z, of_w)
-                    result["tokens"][lo:hi] += add(None, of_w)
-                    result["known"][lo:hi] += add(v > 0, of_w).astype(np.int64)
+                    result["base"][lo:hi] += add((np.log10(v + 1) - log_z)[where])
+                    result["tokens"][lo:hi] += add(None)
+                    result["known"][lo:hi] += add((v > 0)[where]).astype(np.int64)
                 else:
-                    result["score"][lo:hi] += add(v, of_g)
+                    result["score"][lo:hi] += add(v[where])
         yield pa.RecordBatch.from_arrays([docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), pa.array(result["tokens"]), pa.array(result["known"]), pa.array(np.full(size, total)), pa.array(result["base"]), pa.array(result["score"]), pa.array(np.diff(at))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
 
