@@ -13,8 +13,6 @@ worked out by itself; what it says about the nodes above (256 of one byte, and t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 
 _TABLE = 1 << 16
@@ -57,71 +55,55 @@ def grams(data: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Level:
-    """One depth's choices of one bit place: runs of the depth's (context, byte) pairs."""
-
-    of: np.ndarray  # the choice of each pair
-    a: np.ndarray
-    b: np.ndarray
-    first: np.ndarray
-
-
-def _levels(pairs: np.ndarray, counts: np.ndarray) -> list[Level]:
-    out = []
-    for j in range(8):
-        key = pairs >> np.uint64(8 - j)
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        of = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(key)]])))
-        one = (pairs >> np.uint64(7 - j) & np.uint64(1)).astype(np.int64) * counts
-        b = np.add.reduceat(one, start)
-        out.append(Level(of, np.add.reduceat(counts, start) - b, b, start))
-    return out
-
-
 def _mix(log_own: np.ndarray, log_below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A node's weighted probability and its own estimate's share in it."""
     total = np.logaddexp(log_own, log_below) - np.log(2)
     return total, np.exp(log_own - np.log(2) - total)
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Works out nodes from `depth` up to depth `top`, for sorted distinct grams and their counts.
+def _runs(keys: np.ndarray, counts: np.ndarray, depth: int, most: int):
+    """Ranges of grams that hold whole sub-trees of two context bytes, of about `most` grams; a larger sub-tree is a range of its own."""
+    near = keys >> np.uint64(8 * (depth - 1))
+    cut = np.concatenate([np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]])), [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(keys):
+        hi = int(cut[max(np.searchsorted(cut, lo, side="right"), np.searchsorted(cut, lo + most, side="right") - 1)])
+        yield lo, hi
+        lo = hi
+
 
-    Gives each gram's probabilities, mixed up to `top`, of its eight choices, and for each bit place the depth-top choices:
-    their (context, bits so far) key, both counts and the log of their weighted probability.
+def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
+    """Works out nodes from `depth` up to depth `top`, for sorted distinct grams and their counts, one bit place after the other.
+
+    For each bit place: every gram's probability of its bit, mixed up to `top`, and the depth-top choices: their (context, bits
+    so far) key, both counts and the log of their weighted probability.
     """
-    bits = np.stack([(keys >> np.uint64(7 - j) & np.uint64(1)).astype(np.int64) for j in range(8)])
-    pairs, number, tops = keys, np.arange(len(keys)), []
-    probability = np.empty((8, len(keys)))
-    weighted: list[np.ndarray] = []
-    for d in range(depth, top - 1, -1):
-        if d < depth:
-            low = pairs & np.uint64(0xFF)
-            pairs, index, move = np.unique(pairs >> np.uint64(16) << np.uint64(8) | low, return_index=True, return_inverse=True)
-            counts = np.bincount(move, weights=counts, minlength=len(pairs)).astype(np.int64)
-            number = move[number]
-        levels = _levels(pairs, counts)
-        below = weighted
-        weighted = []
-        for j, level in enumerate(levels):
-            own = log_estimate(level.a, level.b)
-            at = level.of[number]
-            seen = np.where(bits[j] == 1, level.b[at], level.a[at])
-            estimate = (seen + 0.5) / (level.a[at] + level.b[at] + 1.0)
-            if d == depth:
-                weighted.append(own)
-                probability[j] = estimate
-            else:
-                parent = level.of[move[before[j].first]]
-                total, share = _mix(own, np.bincount(parent, weights=below[j], minlength=len(own)))
-                weighted.append(total)
+    pairs, count, moves = [keys], [counts], []
+    for _ in range(depth - top):
+        low = pairs[-1] & np.uint64(0xFF)
+        less, move = np.unique(pairs[-1] >> np.uint64(16) << np.uint64(8) | low, return_inverse=True)
+        pairs.append(less)
+        moves.append(move.astype(np.int32))
+        count.append(np.bincount(move, weights=count[-1], minlength=len(less)).astype(np.int64))
+    for j in range(8):
+        number, bit, probability, below = None, (keys >> np.uint64(7 - j) & np.uint64(1)) == 1, None, None
+        for d, (pair, n) in enumerate(zip(pairs, count, strict=True)):
+            key = pair >> np.uint64(8 - j)
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(fresh)
+            of = (np.cumsum(fresh) - 1).astype(np.int32)
+            b = np.add.reduceat(np.where(pair >> np.uint64(7 - j) & np.uint64(1), n, 0), first)
+            a = np.add.reduceat(n, first) - b
+            weighted = log_estimate(a, b)
+            number = moves[d - 1][number] if d > 1 else moves[0] if d else None
+            at = of if number is None else of[number]
+            estimate = (np.where(bit, b[at], a[at]) + 0.5) / (a[at] + b[at] + 1.0)
+            if d:
+                weighted, share = _mix(weighted, np.bincount(of[moves[d - 1][before]], weights=below, minlength=len(first)))
                 w = share[at]
-                probability[j] = w * estimate + (1 - w) * probability[j]
-            if d == top:
-                tops.append((pairs[level.first] >> np.uint64(8 - j), level.a, level.b, weighted[-1]))
-        before = levels
-    return probability, tops
+                estimate = w * estimate + (1 - w) * probability
+            probability, below, before = estimate, weighted, first
+        yield probability, (key[first], a, b, weighted)
 
 
 def above(choices: dict[tuple[int, int], tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,14 +121,24 @@ def above(choices: dict[tuple[int, int], tuple[int, int, float]]) -> tuple[np.nd
     return share, (b + 0.5) / (a + b + 1.0), share0, (b0 + 0.5) / (a0 + b0 + 1.0)
 
 
-def finished(keys: np.ndarray, probability: np.ndarray, tables, depth: int) -> np.ndarray:
+def tops(keys: np.ndarray, counts: np.ndarray, depth: int, most: int = 1 << 17):
+    """What sub-trees of two context bytes say about the nodes above: arrays of context byte, choice, zeros, ones and the sums of log weighted probabilities."""
+    for lo, hi in _runs(keys, counts, depth, most):
+        for j, (_, (key, a, b, weighted)) in enumerate(subtree(keys[lo:hi], counts[lo:hi], depth, 2)):
+            at, of = np.unique((key >> np.uint64(j + 8)).astype(np.int64) << 8 | 1 << j | (key & np.uint64((1 << j) - 1)).astype(np.int64), return_inverse=True)
+            total = [np.bincount(of, weights=x, minlength=len(at)) for x in (a, b, weighted)]
+            yield at >> 8, at & 255, total[0].astype(np.int64), total[1].astype(np.int64), total[2]
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, tables, depth: int, most: int = 1 << 17) -> np.ndarray:
     """log10 of the probability of each gram's byte, mixed up to the root."""
     share, one, share0, one0 = tables
-    byte, near = (keys & np.uint64(0xFF)).astype(np.int64), (keys >> np.uint64(8 * depth)).astype(np.int64)
     out = np.zeros(len(keys))
-    for j in range(8):
-        bit, choice = byte >> (7 - j) & 1, 1 << j | byte >> (8 - j)
-        for w, p in ((share[near, choice], one[near, choice]), (share0[choice], one0[choice])):
-            probability[j] = w * np.where(bit == 1, p, 1 - p) + (1 - w) * probability[j]
-        out += np.log10(probability[j])
+    for lo, hi in _runs(keys, counts, depth, most):
+        byte, near = (keys[lo:hi] & np.uint64(0xFF)).astype(np.int32), (keys[lo:hi] >> np.uint64(8 * depth)).astype(np.int32)
+        for j, (p, _) in enumerate(subtree(keys[lo:hi], counts[lo:hi], depth, 2)):
+            bit, choice = byte >> (7 - j) & 1 == 1, 1 << j | byte >> (8 - j)
+            for w, q in ((share[near, choice], one[near, choice]), (share0[choice], one0[choice])):
+                p = w * np.where(bit, q, 1 - q) + (1 - w) * p
+            out[lo:hi] += np.log10(p)
     return out

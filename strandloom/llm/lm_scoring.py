@@ -160,13 +160,8 @@ def _tops(batches, depth: int):
     """What each bucket's sub-trees say about the nodes above: (context byte, choice, zeros, ones, log of weighted)."""
     for b in batches:
         for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
-            _, tops = ctw.subtree(_decoded(keys.as_buffer()), np.frombuffer(counts.as_buffer(), dtype=np.int64), depth, 2)
-            for j, (key, zeros, ones, log_weighted) in enumerate(tops):
-                near = (key >> np.uint64(j + 8)).astype(np.int64)
-                choice = 1 << j | (key & np.uint64((1 << j) - 1)).astype(np.int64)
-                at, of = np.unique(near << 8 | choice, return_inverse=True)
-                s = [np.bincount(of, weights=x, minlength=len(at)) for x in (zeros, ones, log_weighted)]
-                yield pa.RecordBatch.from_arrays([pa.array(at >> 8), pa.array(at & 255), pa.array(s[0].astype(np.int64)), pa.array(s[1].astype(np.int64)), pa.array(s[2])], names=["near", "choice", "zeros", "ones", "below"])
+            for near, choice, zeros, ones, below in ctw.tops(_decoded(keys.as_buffer()), np.frombuffer(counts.as_buffer(), dtype=np.int64), depth):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (near, choice, zeros, ones, below)], names=["near", "choice", "zeros", "ones", "below"])
 
 
 def _answered(batches, n: int, depth: int, tables):
@@ -178,7 +173,7 @@ def _answered(batches, n: int, depth: int, tables):
             if block is None:
                 now, keys = bucket, k
                 c = np.frombuffer(counts.as_buffer(), dtype=np.int64)
-                values = c.astype(np.uint32) if bucket >= n else ctw.finished(k, ctw.subtree(k, c, depth, 2)[0], tables, depth)
+                values = c.astype(np.uint32) if bucket >= n else ctw.log_probabilities(k, c, tables, depth)
                 continue
             assert bucket == now
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([values[np.searchsorted(keys, k)].tobytes()], pa.binary())], names=["block", "bucket", "answer"])
@@ -199,7 +194,7 @@ def _scored(batches, n: int, depth: int, total: int, distinct: int, ends: int):
             seen, keys = [], np.zeros(0, np.uint64)
             for lo, hi, k, of in (_words if word else _grams)(at, data, depth):
                 x, where = np.unique(k, return_inverse=True)
-                seen.append((lo, hi, x, where.astype(np.int32), of))
+                seen.append((lo, hi, x, where.astype(np.int32), np.bincount(of, minlength=hi - lo)))
                 keys = np.union1d(keys, x)
             values = np.zeros(len(keys))
             of = _bucketed(keys, n, word, depth)
@@ -207,7 +202,8 @@ def _scored(batches, n: int, depth: int, total: int, distinct: int, ends: int):
             cut = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(of) else np.zeros(0, np.int64)
             for lo, hi in zip(cut, [*cut[1:], len(of)], strict=True):
                 values[order[lo:hi]] = np.frombuffer(got[int(of[order[lo]])].as_buffer(), dtype=np.uint32 if word else np.float64)
-            for lo, hi, x, where, of in seen:
+            for lo, hi, x, where, each in seen:
+                of = np.repeat(np.arange(hi - lo, dtype=np.int32), each)
                 v = values[np.searchsorted(keys, x)]
                 add = lambda weights: np.bincount(of, weights=weights, minlength=hi - lo)  # noqa: B023, E731
                 if word:

@@ -97,13 +97,12 @@ def test_is_a_probability():
         keys = np.union1d(k, ask)
         counts = np.zeros(len(keys), dtype=np.int64)
         counts[np.searchsorted(keys, k)] = n
-        p, tops = C.subtree(keys, counts, depth, 2)
         sums = collections.defaultdict(lambda: np.zeros(3))
-        for j, (key, a, b, w) in enumerate(tops):
-            for q, *v in zip(key.tolist(), a, b, w, strict=True):
-                sums[q >> (j + 8), 1 << j | q & ((1 << j) - 1)] += v
+        for near, choice, *v in C.tops(keys, counts, depth, 5):
+            for c, x, *w in zip(near.tolist(), choice.tolist(), *v, strict=True):
+                sums[c, x] += w
         tables = C.above({x: (int(v[0]), int(v[1]), v[2]) for x, v in sums.items()})
-        log = C.finished(keys, p, tables, depth)
+        log = C.log_probabilities(keys, counts, tables, depth, 5)
         assert (10 ** log[np.searchsorted(keys, ask)]).sum() == pytest.approx(1, abs=1e-12)
 
 
