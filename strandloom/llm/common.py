@@ -25,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of texts go by bytes, so that a batch of long texts needs no more memory than one of short texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,6 +39,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     The shuffle files behind the table are of no more use and go at once.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_folder(spark).rstrip('/')}/strandloom/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")

@@ -1,11 +1,12 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
-A line is normalised (lower case, letters and digits, single spaces) and named by a 64-bit hash of that. Its 64-bit SimHash
-is the majority of its distinct words' hashes at each bit (repeats of common words would make lines of one language alike);
-the counts are sums of packed 16-bit lanes, in generated code, and rows of a line of over 32,767 words are added up in wider
-lanes. The SimHash is cut into five blocks; lines that agree in two blocks (any of ten pairs) are candidates, so every pair
-that differs in at most three bits is one. A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance is at most 1 - similarity of
-the longer line. Connected lines are a group, and its first occurrence (by document, then line) stays.
+A line is its words: runs of letters and digits, in lower case; a 64-bit hash of them names it. Its 64-bit SimHash is the
+majority of its distinct words' hashes at each bit (repeats of common words would make lines of one language alike); the counts
+are sums of packed eight-bit lanes, in generated code, and rows of a line of over 127 distinct words are added up in wider lanes. The
+SimHash is cut into four blocks; lines that agree in two blocks (any of six pairs, 32 bits) are candidates, so every pair
+that differs in at most two bits is one, and a third or so of those that are alike (see the README for its recall and
+price). A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance of the two, in words,
+is at most 1 - similarity of the longer line. Connected lines are a group, and its first occurrence (by document, then line) stays.
 
 Buckets of up to SMALL lines give all their pairs. In a larger bucket the first line is compared with all others; those
 that are unlike it stay, and in the next round the first few of them are compared with the whole bucket, until every line was
@@ -28,48 +29,58 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-#: Blocks of a SimHash and how many must agree, lines of a small bucket, leaders of a round, words added up in one 16-bit lane.
-BLOCKS, AGREE, SMALL, LEADERS, PIECE = 5, 2, 16, 4, 32_767
+#: Blocks of a SimHash and how many must agree, lines of a small bucket, leaders of a round, words added up in one 8-bit lane.
+BLOCKS, AGREE, SMALL, LEADERS, PIECE = 4, 2, 16, 2, 127
 LAST = (1 << 63) - 1
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def _words(text: Column) -> Column:
+    """Words of a line (or any text) that is in lower case already: runs of letters and digits."""
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
+
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text_id and the lines, in lower case, of each document."""
+    d = docs.where("text is not null")
+    return d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.split(F.lower("text"), "\n", -1).alias("all"), *more)
 
 
 def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
-def _simhash(counts: list[Column], n: Column) -> Column:
-    """The bits that over half of n words have. counts[j] holds those of bit j in its lower half and of bit j + 32 in its upper one.
+def _simhash(counts: list[Column], n: Column, width: int, bit: int) -> Column:
+    """The bits that over half of n words have. counts[j] holds those of bits j, j + len(counts), ... in lanes of `width` bits.
 
-    Bit 30 of twice a count plus 2^30 - 1 - n tells, for n below 2^30; no addition overflows.
+    In a lane, twice a count plus 2^bit - 1 - n has that bit set if the count is over half; for n below 2^bit no sum reaches
+    another lane or the sign.
     """
-    ones, out = _long(1 << 32 | 1), F.lit(0).cast("long")
+    ones, out = _long(sum(1 << s for s in range(0, 64, width))), F.lit(0).cast("long")
     for j, c in enumerate(counts):
-        over = F.shiftrightunsigned(c * 2 + ((1 << 30) - 1 - n) * ones, 30).bitwiseAND(ones)
+        over = F.shiftrightunsigned(c * 2 + ((1 << bit) - 1 - n) * ones, bit).bitwiseAND(ones)
         out = out.bitwiseOR(F.shiftleft(over, j))
     return out
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no letters or digits."""
-    d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    d = d.select("doc_id", "text_id", "row", "line_no", normalised(F.col("line")).alias("line"))
-    words = d.select("doc_id", "text_id", "row", "line_no", F.when(F.col("line") != "", F.xxhash64("line")).alias("line_id"), F.length("line").alias("size"), F.posexplode(F.array_distinct(F.split("line", " "))).alias("at", "word"))
+    d = _keyed(docs, F.monotonically_increasing_id().alias("row")).select("doc_id", "text_id", "row", F.posexplode("all").alias("line_no", "line"))
+    d = d.select("doc_id", "text_id", "row", "line_no", _words(F.col("line")).alias("words"))
     key = ["doc_id", "text_id", "row", "line_no", "line_id", "size"]
-    words = words.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.xxhash64("word").alias("h"))
-    lane, half = _long(0x0001000100010001), _long(0x0000FFFF0000FFFF)
-    counted = words.groupBy(*key, "piece").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lane)).alias(f"s{i}") for i in range(16)))
-    halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(16)] + [F.shiftrightunsigned(f"s{i}", 16).bitwiseAND(half) for i in range(16)]
-    # only lines of over PIECE words have several rows here, and only they keep their counts
+    each = d.select("doc_id", "text_id", "row", "line_no", F.when(F.size("words") > 0, F.xxhash64("words")).alias("line_id"), F.size("words").alias("size"), F.posexplode_outer(F.array_distinct("words")).alias("at", "word"))
+    each = each.select(*key, F.coalesce(F.floor(F.col("at") / PIECE), F.lit(0)).cast("int").alias("piece"), F.xxhash64("word").alias("h"))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_long(0x0101010101010101))).alias(f"s{i}") for i in range(8)]
+    counted = each.groupBy(*key, "piece").agg(F.count("*").alias("n"), *sums)
+    half = _long(0x00FF00FF00FF00FF)
+    halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(8)] + [F.shiftrightunsigned(f"s{i}", 8).bitwiseAND(half) for i in range(8)]
+    # only lines of PIECE distinct words or more can have several rows here, and only they keep their counts
     whole = (F.col("piece") == 0) & (F.col("n") < PIECE)
-    first = written(counted.select(*key, "n", F.when(whole, _simhash(halves, F.col("n"))).alias("simhash"), F.when(~whole, F.array(*halves)).alias("counts")), "lines")
-    longer = first.where("counts is not null").groupBy(*key).agg(F.sum("n").alias("n"), *(F.sum(F.col("counts")[j]).alias(f"c{j}") for j in range(32)))
-    longer = longer.select(*key, _simhash([F.col(f"c{j}") for j in range(32)], F.col("n")).alias("simhash"))
-    return first.where("counts is null").select(*key, "simhash").union(longer).drop("row")
+    first = written(counted.select(*key, "n", F.when(whole, _simhash(halves, F.col("n"), 16, 9)).alias("simhash"), F.when(~whole, F.array(*(f"s{i}" for i in range(8)))).alias("sums")), "lines")
+    byte = _long(0x000000FF000000FF)
+    longer = first.where("sums is not null").groupBy(*key).agg(F.sum("n").alias("n"), *(F.sum(F.shiftrightunsigned(F.col("sums")[j % 8], 8 * (j // 8)).bitwiseAND(byte)).alias(f"c{j}") for j in range(32)))
+    longer = longer.select(*key, _simhash([F.col(f"c{j}") for j in range(32)], F.col("n"), 32, 30).alias("simhash"))
+    return first.where("sums is null").select(*key, "simhash").union(longer).drop("row")
 
 
 def block_keys(simhash: str) -> Column:
@@ -78,51 +89,56 @@ def block_keys(simhash: str) -> Column:
     return F.array(*(F.xxhash64(F.lit(i), F.col(simhash).bitwiseAND(_long(sum(c)))) for i, c in enumerate(combinations(masks, AGREE))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: int) -> DataFrame:
+def _coded(words: Column) -> Column:
+    """A string with one character for each word, from a hash of 20 bits, so that edit distance counts words."""
+    point = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(900_000)) + 65_536), 8, "0"))
+    return F.decode(F.unhex(F.array_join(point, "")), "UTF-32")
+
+
+def _near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of line ids whose lines are alike."""
-    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("simhash").alias(f"{x}_hash"), F.col("line").alias(f"{x}_line"))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    longest = F.greatest(F.length("a_line"), F.length("b_line"))
-    near = near.withColumn("most", F.floor(longest * F.lit(1 - similarity) + 1e-9).cast("int"))
-    near = near.where((F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance) & (F.abs(F.length("a_line") - F.length("b_line")) <= F.col("most")))
-    return near.where(F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
+    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("line").alias(f"{x}_line"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    both = both.withColumn("most", F.floor(F.greatest(F.length("a_line"), F.length("b_line")) * F.lit(1 - similarity) + 1e-9).cast("int"))
+    return both.where((F.abs(F.length("a_line") - F.length("b_line")) <= F.col("most")) & F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
 
 
 def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -> DataFrame:
     """Links (a, b) between ids of like lines. known: (line_id, doc_id, text_id, line_no, size, simhash) of each distinct line's first occurrence."""
-    keyed = known.select(F.explode(block_keys("simhash")).alias("key"), "line_id")
+    long_enough = known.where(F.col("size") * F.lit(1 - similarity) + 1e-9 >= 1)  # shorter lines are alike only if equal
+    keyed = long_enough.select(F.explode(block_keys("simhash")).alias("key"), "line_id")
     members = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    members = written(members.join(known.select("line_id", "simhash"), "line_id"), "buckets")
+    members = written(members.join(long_enough.select("line_id", "simhash", "doc_id", "text_id", "line_no"), "line_id"), "buckets")
     small = members.where(F.col("n") <= SMALL)
-    side = lambda x: small.select("key", F.col("line_id").alias(x), F.col("simhash").alias(f"{x}_hash"))
-    near = F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance
-    pairs = written(side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
-    # texts of what is to be compared, from the documents of the lines' first occurrences
-    compared = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(members.where(F.col("n") > SMALL).select("line_id")).distinct()
-    wanted = written(known.join(compared, "line_id", "left_semi"), "wanted")
-    by_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("line_no", "line_id", "simhash")).alias("wanted"))
-    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.split("text", "\n", -1).alias("all")).join(by_doc, ["doc_id", "text_id"])
-    texts = texts.select("all", F.inline("wanted")).select("line_id", "simhash", normalised(F.element_at("all", F.col("line_no") + 1)).alias("line")).distinct()
-    texts = written(texts, "texts")
-    found = written(_verified(pairs, texts, similarity, distance), "like")
-    open_ = written(members.where(F.col("n") > SMALL).select("key", "line_id").join(wanted.select("line_id", "doc_id", "text_id", "line_no"), "line_id"), "open")
-    every = open_.select("key", F.col("line_id").alias("b"))
-    k = 1
+    side = lambda df, x: df.select("key", F.col("line_id").alias(x), F.col("simhash").alias(f"{x}_hash"))
+    pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b").distinct(), "pairs")
+    # the words of what is to be compared, from the documents of the lines' first occurrences
+    large = members.where(F.col("n") > SMALL)
+    compared = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")).distinct()
+    wanted = known.join(compared, "line_id", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("line_no", "line_id")).alias("wanted"))
+    texts = _keyed(docs).join(wanted, ["doc_id", "text_id"]).select("all", F.inline("wanted"))
+    texts = written(texts.select("line_id", _coded(_words(F.element_at("all", F.col("line_no") + 1))).alias("line")).distinct(), "texts")
+    found = written(_verified(pairs, texts, similarity), "like")
+    open_ = large
+    every = side(large, "b")
+    first, order = True, F.struct("doc_id", "text_id", "line_no", "line_id", "simhash")
     while not open_.isEmpty():
-        # the first lines that are still open, k of them, lead; their number grows so that few rounds are needed
-        order = F.struct("doc_id", "text_id", "line_no", "line_id")
-        lead = open_.groupBy("key").agg(F.min(order).alias("o")) if k == 1 else open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
-        lead = written(lead.select("key", F.col("o.line_id").alias("a")), "leaders")
-        tried = lead.join(every, "key").where("a <> b").select("a", "b")
-        alike = written(_verified(tried, texts, similarity, distance), "like")
-        found = found.union(alike)
-        joined = written(alike.join(lead, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct(), "joined")
+        # the first of the open lines lead: one at first, for most buckets are around one line, then some
+        of = F.lit(0) if first else F.pmod("line_id", F.lit(LEADERS))
+        lead = written(open_.groupBy("key", of.alias("of")).agg(F.min(order).alias("o")).select("key", F.col("o.line_id").alias("a"), F.col("o.simhash").alias("a_hash")), "leaders")
+        tried = lead.join(every, "key").where((F.col("a") != F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b")
+        alike = written(_verified(tried, texts, similarity), "like")
+        found, first = found.union(alike), False
+        joined = lead.join(alike, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
         open_ = written(open_.join(joined, ["key", "line_id"], "left_anti"), "open")
-        k = LEADERS
     return found
 
 
-def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 12) -> DataFrame:
+def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> DataFrame:
     """(doc_id, text_id, flags, n_lines, n_left): for every document that loses a line, whether each of its lines goes."""
     all_lines = lines(docs)
     place = F.struct("doc_id", "text_id", "line_no")
@@ -138,10 +154,10 @@ def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 12) -> Dat
     return per_doc.where("n_gone > 0").select("doc_id", "text_id", F.col("f.goes").alias("flags"), "n_lines", (F.col("n_own") - F.col("n_gone")).alias("n_left"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, distance: int = 12) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> DataFrame:
     """docs with repeated lines taken out of `text`; documents of which nothing but blank lines is left go."""
-    gone = dropped(docs, similarity, distance).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), "flags", "n_left")
+    gone = dropped(docs, similarity, distance).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("flags").alias("_flags"), F.col("n_left").alias("_left"))
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_text", F.xxhash64("text"))
-    both = keyed.join(gone, ["_doc", "_text"], "left").where("flags is null or n_left > 0")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.element_at("flags", i + 1)), "\n")
-    return both.withColumn("text", F.when(F.col("flags").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    both = keyed.join(gone, ["_doc", "_text"], "left").where("_flags is null or _left > 0")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.element_at("_flags", i + 1)), "\n")
+    return both.withColumn("text", F.when(F.col("_flags").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)

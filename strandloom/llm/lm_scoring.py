@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree as ctw
-from .common import slices, utf8, written
+from .common import bounded, slices, utf8, written
 from .words import lowered, mixed, word_hashes, word_spans
 
 DEPTH, BLOCK, AT_ONCE, PENDING = 5, 4096, 1 << 20, 2 << 20
@@ -222,6 +222,7 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, block: int = BLOCK) ->
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be from 2 to 7")
+    bounded(docs.sparkSession)
     n_blocks = max(1, -(-docs.count() // block))
     n = max(64, n_blocks)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import bounded, utf8, written
 
 UNIT, RATE, FRAME, STEP, AHEAD, BLOCK = 64, 8000, 1024, 512, 3, 2048
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -75,6 +75,7 @@ def fingerprint(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the WAV file of each whole text."""
 
+    bounded(docs.sparkSession)
     def stored(batches):
         for b in batches:
             at, data = utf8(b.column("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded, slices, utf8
 from .words import lowered, mixed, word_hashes, word_spans
 
 CAPACITY, SHARD, AT_ONCE = 2048, 4096, 4 << 20
@@ -54,6 +54,7 @@ def _sized(batches):
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_tokens (words), cluster and copy (which of the rows with this id in its batch) of each document."""
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sized, "doc_id long, source string, n_tokens long, cluster long, copy long")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded, slices, utf8
 
 SPACE = 0x2581
 #: Bytes of a giant text, characters of a chunk, chunks worked out side by side, entries of a task's list, bytes of text at once.
@@ -396,4 +396,5 @@ def _checked(batches, model: str):
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Encodes and decodes each whole text: doc_id, n_bytes, n_pieces, ids_crc32 (of the ids as 32-bit little-endian numbers) and round_trip."""
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_checked, model=model), "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean")

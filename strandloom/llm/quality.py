@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import bounded, slices, utf8, written
 from .words import lowered, word_hashes, word_spans
 
 #: Labelled rows to fit on, bits of a word's feature number, and bytes scored at once.
@@ -163,6 +163,7 @@ def site_rates(scored: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, columns: list[str], threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """columns of docs, with p_low (low quality), p_toxic and keep (neither is above the threshold)."""
+    bounded(docs.sparkSession)
     models = train(docs, labels, sample)
     need = list(dict.fromkeys([*columns, "source", "lang", "text"]))
     types = dict(docs.dtypes)

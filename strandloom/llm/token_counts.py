@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded, slices, utf8
 
 #: Entries of a task's list, bytes of text whose new pre-tokens are counted at once.
 KEPT, AT_ONCE = 1_000_000, 4 << 20
@@ -68,5 +68,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
     vocabulary: path of a tokenizers .json file whose pre-tokenizer never joins text over ASCII white space.
     """
+    bounded(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(partial(_counted, vocabulary=vocabulary), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
