@@ -8,10 +8,10 @@ that differs in at most two bits is one, and a third or so of those that are ali
 price). A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance of the two, in words,
 is at most 1 - similarity of the longer line. Connected lines are a group, and its first occurrence (by document, then line) stays.
 
-Buckets of up to SMALL lines give all their pairs. In a larger bucket the first line is compared with all others; those
-that are unlike it stay, and in the next round the first few of them are compared with the whole bucket, until every line was
-linked or has been compared with all: links between two lines that both resemble earlier ones are then left to those. Rows
-stay in proportion to the bucket, and each round is exact.
+Buckets of up to SMALL lines give all their pairs. A larger bucket is joined round its leaders: its first line is compared with
+all others; those unlike it stay open, and the first few of them, more in each round, are compared with all that are open,
+until every line was linked or has led. So a line of such a bucket is linked to the leaders that it resembles, not to other followers. Rows
+stay in proportion to what is open, no line is left out, and the number of rounds has no limit.
 
 Lines without letters and digits are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
 a null text passes through; null ids come last in order. Rows with one id and one text are one document, whose rows are
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-#: Blocks of a SimHash and how many must agree, lines of a small bucket, leaders of a round, words added up in one 8-bit lane.
-BLOCKS, AGREE, SMALL, LEADERS, PIECE = 4, 2, 16, 2, 127
+#: Blocks of a SimHash and how many must agree, lines of a small bucket, by how much leaders grow with each round, words added up in one 8-bit lane.
+BLOCKS, AGREE, SMALL, LEADERS, PIECE = 4, 2, 16, 8, 127
 LAST = (1 << 63) - 1
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
@@ -123,16 +123,14 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -
     texts = _keyed(docs).join(wanted, ["doc_id", "text_id"]).select("all", F.inline("wanted"))
     texts = written(texts.select("line_id", _coded(_words(F.element_at("all", F.col("line_no") + 1))).alias("line")).distinct(), "texts")
     found = written(_verified(pairs, texts, similarity), "like")
-    open_ = large
-    every = side(large, "b")
-    first, order = True, F.struct("doc_id", "text_id", "line_no", "line_id", "simhash")
+    open_, k, order = large, 1, F.struct("doc_id", "text_id", "line_no", "line_id", "simhash")
     while not open_.isEmpty():
-        # the first of the open lines lead: one at first, for most buckets are around one line, then some
-        of = F.lit(0) if first else F.pmod("line_id", F.lit(LEADERS))
-        lead = written(open_.groupBy("key", of.alias("of")).agg(F.min(order).alias("o")).select("key", F.col("o.line_id").alias("a"), F.col("o.simhash").alias("a_hash")), "leaders")
-        tried = lead.join(every, "key").where((F.col("a") != F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b")
+        # the first of the open lines leads, as most buckets are around one line; later the first of each of k classes
+        lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
+        lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.simhash").alias("a_hash")), "leaders")
+        tried = lead.join(side(open_, "b"), "key").where((F.col("a") != F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b")
         alike = written(_verified(tried, texts, similarity), "like")
-        found, first = found.union(alike), False
+        found, k = found.union(alike), k * LEADERS
         joined = lead.join(alike, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
         open_ = written(open_.join(joined, ["key", "line_id"], "left_anti"), "open")
     return found
