@@ -1,8 +1,8 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
-A line is its words: runs of letters and digits, in lower case; a 64-bit hash of them names it. Its 64-bit SimHash is the
-majority of its distinct words' hashes at each bit (repeats of common words would make lines of one language alike); the counts
-are sums of packed eight-bit lanes, in generated code, and rows of a line of over 127 distinct words are added up in wider lanes. The
+A line is its words: what white space leaves of its text in lower case without ASCII marks; a 64-bit hash of them and their
+places names it. Its 64-bit SimHash is the majority of its words' hashes at each bit; the counts are sums of packed eight-bit
+lanes, in generated code, and rows of a line of over 127 words are added up in wider lanes. The
 SimHash is cut into four blocks; lines that agree in two blocks (any of six pairs, 32 bits) are candidates, so every pair
 that differs in at most two bits is one, and a third or so of those that are alike (see the README for its recall and
 price). A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance of the two, in words,
@@ -13,9 +13,9 @@ all others; those unlike it stay open, and the first few of them, more in each r
 until every line was linked or has led. So a line of such a bucket is linked to the leaders that it resembles, not to other followers. Rows
 stay in proportion to what is open, no line is left out, and the number of rounds has no limit.
 
-Lines without letters and digits are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
+Lines without words are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
 a null text passes through; null ids come last in order. Rows with one id and one text are one document, whose rows are
-treated alike; rows with one id and different texts are different documents. Empty tables give empty results. Hot lines are joined as plain
+treated alike; of rows with one id and different texts, equal lines at the same place stay in each. Empty tables give empty results. Hot lines are joined as plain
 tables, whose hot keys Spark splits.
 """
 
@@ -35,15 +35,14 @@ LAST = (1 << 63) - 1
 _CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
-def _words(text: Column) -> Column:
-    """Words of a line (or any text) that is in lower case already: runs of letters and digits."""
-    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
+def _plain(text: Column) -> Column:
+    """A text in lower case without ASCII marks."""
+    return F.regexp_replace(F.lower(text), r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", "")
 
 
-def _keyed(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, text_id and the lines, in lower case, of each document."""
-    d = docs.where("text is not null")
-    return d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.split(F.lower("text"), "\n", -1).alias("all"), *more)
+def _place(doc: str, line: str) -> Column:
+    """Order of occurrence as one number, which hash aggregation can take the least of."""
+    return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line)
 
 
 def _long(x: int) -> Column:
@@ -64,23 +63,25 @@ def _simhash(counts: list[Column], n: Column, width: int, bit: int) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no letters or digits."""
-    d = _keyed(docs, F.monotonically_increasing_id().alias("row")).select("doc_id", "text_id", "row", F.posexplode("all").alias("line_no", "line"))
-    d = d.select("doc_id", "text_id", "row", "line_no", _words(F.col("line")).alias("words"))
-    key = ["doc_id", "text_id", "row", "line_no", "line_id", "size"]
-    each = d.select("doc_id", "text_id", "row", "line_no", F.when(F.size("words") > 0, F.xxhash64("words")).alias("line_id"), F.size("words").alias("size"), F.posexplode_outer(F.array_distinct("words")).alias("at", "word"))
-    each = each.select(*key, F.coalesce(F.floor(F.col("at") / PIECE), F.lit(0)).cast("int").alias("piece"), F.xxhash64("word").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_long(0x0101010101010101))).alias(f"s{i}") for i in range(8)]
-    counted = each.groupBy(*key, "piece").agg(F.count("*").alias("n"), *sums)
+    """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no words."""
+    d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), _plain(F.col("text")).alias("text"))
+    d = d.select("doc_id", "text_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    each = d.select("doc_id", "text_id", "row", "line_no", F.posexplode(F.split("line", r"[ \t\r\x0b\x0c]")).alias("at", "word"))
+    key = ["doc_id", "text_id", "row", "line_no"]
+    own = F.col("word") != ""
+    h = F.when(own, F.xxhash64("word"))
+    each = each.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), h.alias("h"), F.when(own, F.xxhash64("word", "at")).alias("placed"))
+    sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_long(0x0101010101010101))), F.lit(0)).alias(f"s{i}") for i in range(8)]
+    counted = each.groupBy(*key, "piece").agg(F.count("h").alias("n"), F.count("*").alias("parts"), F.bit_xor("placed").alias("line_id"), *sums)
     half = _long(0x00FF00FF00FF00FF)
     halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(8)] + [F.shiftrightunsigned(f"s{i}", 8).bitwiseAND(half) for i in range(8)]
-    # only lines of PIECE distinct words or more can have several rows here, and only they keep their counts
-    whole = (F.col("piece") == 0) & (F.col("n") < PIECE)
-    first = written(counted.select(*key, "n", F.when(whole, _simhash(halves, F.col("n"), 16, 9)).alias("simhash"), F.when(~whole, F.array(*(f"s{i}" for i in range(8)))).alias("sums")), "lines")
+    # only lines of PIECE parts or more can have several rows here, and only they keep their counts
+    whole = (F.col("piece") == 0) & (F.col("parts") < PIECE)
+    first = written(counted.select(*key, "line_id", F.col("n").alias("size"), F.when(whole, _simhash(halves, F.col("n"), 16, 9)).alias("simhash"), F.when(~whole, F.array(*(f"s{i}" for i in range(8)))).alias("sums")), "lines")
     byte = _long(0x000000FF000000FF)
-    longer = first.where("sums is not null").groupBy(*key).agg(F.sum("n").alias("n"), *(F.sum(F.shiftrightunsigned(F.col("sums")[j % 8], 8 * (j // 8)).bitwiseAND(byte)).alias(f"c{j}") for j in range(32)))
-    longer = longer.select(*key, _simhash([F.col(f"c{j}") for j in range(32)], F.col("n"), 32, 30).alias("simhash"))
-    return first.where("sums is null").select(*key, "simhash").union(longer).drop("row")
+    longer = first.where("sums is not null").groupBy(*key).agg(F.bit_xor("line_id").alias("line_id"), F.sum("size").alias("size"), *(F.sum(F.shiftrightunsigned(F.col("sums")[j % 8], 8 * (j // 8)).bitwiseAND(byte)).alias(f"c{j}") for j in range(32)))
+    longer = longer.select(*key, "line_id", "size", _simhash([F.col(f"c{j}") for j in range(32)], F.col("size"), 32, 30).alias("simhash"))
+    return first.where("sums is null").select(*key, "line_id", "size", "simhash").union(longer).drop("row")
 
 
 def block_keys(simhash: str) -> Column:
@@ -89,8 +90,9 @@ def block_keys(simhash: str) -> Column:
     return F.array(*(F.xxhash64(F.lit(i), F.col(simhash).bitwiseAND(_long(sum(c)))) for i, c in enumerate(combinations(masks, AGREE))))
 
 
-def _coded(words: Column) -> Column:
-    """A string with one character for each word, from a hash of 20 bits, so that edit distance counts words."""
+def _coded(line: Column) -> Column:
+    """A plain line as a string with one character for each word, from a hash of 20 bits, so that edit distance counts words."""
+    words = F.array_remove(F.split(line, r"[ \t\r\x0b\x0c]+"), "")
     point = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(900_000)) + 65_536), 8, "0"))
     return F.decode(F.unhex(F.array_join(point, "")), "UTF-32")
 
@@ -108,22 +110,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -> DataFrame:
-    """Links (a, b) between ids of like lines. known: (line_id, doc_id, text_id, line_no, size, simhash) of each distinct line's first occurrence."""
+    """Links (a, b) between ids of like lines. known: (line_id, doc_id, line_no, size, simhash) of each distinct line's first occurrence."""
     long_enough = known.where(F.col("size") * F.lit(1 - similarity) + 1e-9 >= 1)  # shorter lines are alike only if equal
     keyed = long_enough.select(F.explode(block_keys("simhash")).alias("key"), "line_id")
     members = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    members = written(members.join(long_enough.select("line_id", "simhash", "doc_id", "text_id", "line_no"), "line_id"), "buckets")
+    members = written(members.join(long_enough.select("line_id", "simhash", "place"), "line_id"), "buckets")
     small = members.where(F.col("n") <= SMALL)
     side = lambda df, x: df.select("key", F.col("line_id").alias(x), F.col("simhash").alias(f"{x}_hash"))
     pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b").distinct(), "pairs")
     # the words of what is to be compared, from the documents of the lines' first occurrences
     large = members.where(F.col("n") > SMALL)
     compared = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")).distinct()
-    wanted = known.join(compared, "line_id", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("line_no", "line_id")).alias("wanted"))
-    texts = _keyed(docs).join(wanted, ["doc_id", "text_id"]).select("all", F.inline("wanted"))
-    texts = written(texts.select("line_id", _coded(_words(F.element_at("all", F.col("line_no") + 1))).alias("line")).distinct(), "texts")
+    wanted = known.join(compared, "line_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id")).alias("wanted"))
+    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").join(wanted, "doc_id")
+    texts = texts.select(F.split(_plain(F.col("text")), "\n", -1).alias("all"), "wanted").select("all", F.inline("wanted")).where("line_no < size(all)")
+    # of several texts with one id, that which has the line is told by nothing but its words; any of them is verified
+    texts = written(texts.select("line_id", _coded(F.element_at("all", F.col("line_no") + 1)).alias("line")).distinct(), "texts")
     found = written(_verified(pairs, texts, similarity), "like")
-    open_, k, order = large, 1, F.struct("doc_id", "text_id", "line_no", "line_id", "simhash")
+    open_, k, order = large, 1, F.struct("place", "line_id", "simhash")
     while not open_.isEmpty():
         # the first of the open lines leads, as most buckets are around one line; later the first of each of k classes
         lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
@@ -137,19 +141,21 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -
 
 
 def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> DataFrame:
-    """(doc_id, text_id, flags, n_lines, n_left): for every document that loses a line, whether each of its lines goes."""
+    """(doc_id, text_id, flags, n_left): for every document that loses a line, whether each of its lines goes."""
     all_lines = lines(docs)
-    place = F.struct("doc_id", "text_id", "line_no")
-    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("simhash").alias("simhash"))
-    first = written(first.select("line_id", "at.*", "n", "size", "simhash"), "first")
+    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(_place("doc_id", "line_no")).alias("place"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("simhash").alias("simhash"))
+    base = F.lit(1 << 31).cast("decimal(11,0)")
+    line_no = F.pmod(F.col("place"), base)
+    first = written(first.select("line_id", "place", ((F.col("place") - line_no) / base).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"), "n", "size", "simhash"), "first")
     group = written(components(links(docs, first, similarity, distance)), "groups")
-    grouped = group.join(first, group["node"] == first["line_id"]).select("component", "line_id", place.alias("at"))
-    kept = written(grouped.groupBy("component").agg(F.min("at").alias("kept")), "kept")
-    alone = first.where("n > 1").join(group, first["line_id"] == group["node"], "left_anti").select("line_id", place.alias("kept"))
+    grouped = group.join(first, group["node"] == first["line_id"]).select("component", "line_id", "place")
+    kept = written(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
+    alone = first.where("n > 1").join(group, first["line_id"] == group["node"], "left_anti").select("line_id", F.col("place").alias("kept"))
     rule = written(grouped.join(kept, "component").select("line_id", "kept").union(alone), "rules")
-    flagged = all_lines.join(rule, "line_id", "left").select("doc_id", "text_id", "line_no", "line_id", (F.col("kept").isNotNull() & (F.col("kept") != place)).alias("goes"))
-    per_doc = flagged.distinct().groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "goes"))).alias("f"), F.count("*").alias("n_lines"), F.count("line_id").alias("n_own"), F.sum(F.col("goes").cast("int")).alias("n_gone"))
-    return per_doc.where("n_gone > 0").select("doc_id", "text_id", F.col("f.goes").alias("flags"), "n_lines", (F.col("n_own") - F.col("n_gone")).alias("n_left"))
+    flagged = all_lines.join(rule, "line_id", "left").select("doc_id", "text_id", "line_no", "line_id", (F.col("kept").isNotNull() & (F.col("kept") != _place("doc_id", "line_no"))).alias("goes"))
+    per_doc = flagged.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "goes", F.col("line_id").isNotNull().alias("own")))).alias("f"), F.max(F.col("goes").cast("int")).alias("any")).where("any > 0")
+    left = F.size(F.filter("f", lambda x: x["own"] & ~x["goes"]))
+    return per_doc.select("doc_id", "text_id", F.col("f.goes").alias("flags"), left.alias("n_left"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> DataFrame:

