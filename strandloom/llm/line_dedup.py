@@ -1,8 +1,9 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
-A line is its words: what white space leaves of its text in lower case without ASCII marks; a 64-bit hash of them and their
-places names it. Its 64-bit SimHash is the majority of its words' hashes at each bit; the counts are sums of packed eight-bit
-lanes, in generated code, and rows of a line of over 127 words are added up in wider lanes. The
+A line is its text in lower case without ASCII marks; a 64-bit hash of that names it. Its words are what white space leaves
+of it. Its 64-bit SimHash is the majority of its distinct words' hashes at each bit (repeats of common words would make lines of
+one language alike); the counts are sums of packed eight-bit lanes, in generated code, and rows of a line of over 127 distinct words
+are added up in wider lanes. The
 SimHash is cut into four blocks; lines that agree in two blocks (any of six pairs, 32 bits) are candidates, so every pair
 that differs in at most two bits is one, and a third or so of those that are alike (see the README for its recall and
 price). A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance of the two, in words,
@@ -66,22 +67,21 @@ def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no words."""
     d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), _plain(F.col("text")).alias("text"))
     d = d.select("doc_id", "text_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    each = d.select("doc_id", "text_id", "row", "line_no", F.posexplode(F.split("line", r"[ \t\r\x0b\x0c]")).alias("at", "word"))
-    key = ["doc_id", "text_id", "row", "line_no"]
-    own = F.col("word") != ""
-    h = F.when(own, F.xxhash64("word"))
-    each = each.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), h.alias("h"), F.when(own, F.xxhash64("word", "at")).alias("placed"))
+    named = F.when(F.trim("line") != "", F.xxhash64(F.trim("line"))).alias("line_id")
+    each = d.select("doc_id", "text_id", "row", "line_no", named, F.posexplode(F.array_distinct(F.split("line", r"[ \t\r\x0b\x0c]"))).alias("at", "word"))
+    key = ["doc_id", "text_id", "row", "line_no", "line_id"]
+    each = each.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.when(F.col("word") != "", F.xxhash64("word")).alias("h"))
     sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_long(0x0101010101010101))), F.lit(0)).alias(f"s{i}") for i in range(8)]
-    counted = each.groupBy(*key, "piece").agg(F.count("h").alias("n"), F.count("*").alias("parts"), F.bit_xor("placed").alias("line_id"), *sums)
+    counted = each.groupBy(*key, "piece").agg(F.count("h").alias("n"), F.count("*").alias("parts"), *sums)
     half = _long(0x00FF00FF00FF00FF)
     halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(8)] + [F.shiftrightunsigned(f"s{i}", 8).bitwiseAND(half) for i in range(8)]
     # only lines of PIECE parts or more can have several rows here, and only they keep their counts
     whole = (F.col("piece") == 0) & (F.col("parts") < PIECE)
-    first = written(counted.select(*key, "line_id", F.col("n").alias("size"), F.when(whole, _simhash(halves, F.col("n"), 16, 9)).alias("simhash"), F.when(~whole, F.array(*(f"s{i}" for i in range(8)))).alias("sums")), "lines")
+    first = written(counted.select(*key, F.col("n").alias("size"), F.when(whole, _simhash(halves, F.col("n"), 16, 9)).alias("simhash"), F.when(~whole, F.array(*(f"s{i}" for i in range(8)))).alias("sums")), "lines")
     byte = _long(0x000000FF000000FF)
-    longer = first.where("sums is not null").groupBy(*key).agg(F.bit_xor("line_id").alias("line_id"), F.sum("size").alias("size"), *(F.sum(F.shiftrightunsigned(F.col("sums")[j % 8], 8 * (j // 8)).bitwiseAND(byte)).alias(f"c{j}") for j in range(32)))
-    longer = longer.select(*key, "line_id", "size", _simhash([F.col(f"c{j}") for j in range(32)], F.col("size"), 32, 30).alias("simhash"))
-    return first.where("sums is null").select(*key, "line_id", "size", "simhash").union(longer).drop("row")
+    longer = first.where("sums is not null").groupBy(*key).agg(F.sum("size").alias("size"), *(F.sum(F.shiftrightunsigned(F.col("sums")[j % 8], 8 * (j // 8)).bitwiseAND(byte)).alias(f"c{j}") for j in range(32)))
+    longer = longer.select(*key, "size", _simhash([F.col(f"c{j}") for j in range(32)], F.col("size"), 32, 30).alias("simhash"))
+    return first.where("sums is null").select(*key, "size", "simhash").union(longer).drop("row")
 
 
 def block_keys(simhash: str) -> Column:
