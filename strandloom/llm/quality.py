@@ -68,17 +68,18 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pair >> BITS, pair & (1 << BITS) - 1, shapes
 
 
-def fit(rows_: list[tuple[bytes, int]], rounds: int = 400) -> np.ndarray:
-    """Weights of a logistic model: words, then shapes. rows_: whole texts and 0 or 1."""
+def fit(rows_: list[tuple], rounds: int = 400) -> np.ndarray:
+    """Weights of a logistic model: words, then shapes. rows_: whole texts, as bytes or arrays of bytes, and 0 or 1."""
     y = np.array([r[1] for r in rows_], dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return np.zeros((1 << BITS) + SHAPES, dtype=np.float32)
     doc, word, shape = [], [], []
     for lo in range(0, len(rows_), 500):
         part = [r[0] for r in rows_[lo : lo + 500]]
-        d, w, s = features(np.frombuffer(b"".join(part), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in part])]))
-        doc.append(d + lo)
-        word.append(w)
+        data = np.concatenate([np.frombuffer(p, dtype=np.uint8) for p in part])
+        d, w, s = features(data, np.concatenate([[0], np.cumsum([len(p) for p in part])]))
+        doc.append((d + lo).astype(np.int32))
+        word.append(w.astype(np.int32))
         shape.append(s)
     return _fit(np.concatenate(doc), np.concatenate(word), np.concatenate(shape), y, rounds)
 
@@ -127,8 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "q", "t").limit(sample)  # so many rows at most, hence small enough to broadcast
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows_ = sorted((r.doc_id, bytes(r.text), r.q, r.t) for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect())
-    return np.stack([fit([(x, int(q == 0)) for _, x, q, _ in rows_ if q is not None]), fit([(x, int(t == 1)) for _, x, _, t in rows_ if t is not None])])
+    held = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow().sort_by("doc_id")
+    at, data = utf8(held["text"])
+    texts = [data[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+    q, t = held["q"].to_pylist(), held["t"].to_pylist()
+    return np.stack([fit([(x, int(v == 0)) for x, v in zip(texts, q, strict=True) if v is not None]), fit([(x, int(v == 1)) for x, v in zip(texts, t, strict=True) if v is not None])])
 
 
 def _rate(log_odds: str) -> Column:
