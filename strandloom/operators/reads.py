@@ -13,8 +13,14 @@ def read_of(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.col(text) if isinstance(text, str) else text, "ACGT", "acgt"), "[^acgt]", "")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deals out rows of an input of fewer partitions than there are cores; larger inputs stay as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def reads(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(read_of(text).alias("read"))
+    return _spread(docs.select(text)).select(read_of(text).alias("read"))
 
 
 def kmers(reads: DataFrame, k: int) -> DataFrame:
