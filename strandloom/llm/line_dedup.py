@@ -1,19 +1,24 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
 A line is its text in lower case without ASCII marks; a 64-bit hash of that names it. Its words are what white space leaves
-of it. Its 64-bit SimHash is the majority of its distinct words' hashes at each bit (repeats of common words would make lines of
-one language alike); the counts are sums of packed eight-bit lanes, in generated code, and rows of a line of over 127 distinct words
-are added up in wider lanes. The
-SimHash is cut into four blocks; lines that agree in two blocks (any of six pairs, 32 bits) are candidates, so every pair
-that differs in at most two bits is one, and a third or so of those that are alike (see the README for its recall and
-price). A candidate pair counts if its SimHashes differ in at most `distance` bits and the edit distance of the two, in words,
-is at most 1 - similarity of the longer line. Connected lines are a group, and its first occurrence (by document, then line) stays.
+of it. Two lines are alike if their edit distance, in words, is at most 1 - similarity of the longer line. Connected lines are a group, and its
+first occurrence (by document, then line) stays.
+
+Candidates come from an exact prefix join, which loses no pair of lines that are alike. Of the words of a line (the i-th occurrence of a word being
+an element of its own) at most k are missing in a line at distance k. So if all words have one order, the first k + 1 elements of both lines have one in common,
+with k the most by which a line may differ from any partner, however much longer that is. The order puts rare words first, by a
+table of fixed size counted over a part of the texts; what it holds only decides how many candidates there are. Lengths
+and a parity bit of the words in each of 64 slots (an edit changes at most two) rule candidates out before words are compared.
 
 Buckets of up to SMALL lines give all their pairs. A larger bucket is joined round its leaders: its first line is compared with
 all others; those unlike it stay open, and the first few of them, more in each round, are compared with all that are open,
 until every line was linked or has led. So a line of such a bucket is linked to the leaders that it resembles, not to other followers. Rows
 stay in proportion to what is open, no line is left out, and the number of rounds has no limit.
 
+With `distance`, alike lines must also have SimHashes that differ in at most so many bits. A line's 64-bit SimHash is the majority of its
+distinct words' hashes at each bit (repeats of common words would make lines of one language alike); the counts are sums of packed
+eight-bit lanes, in generated code, and rows of a line of over 127 distinct words are added up in wider lanes.
+
 Lines without words are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
 a null text passes through; null ids come last in order. Rows with one id and one text are one document, whose rows are
 treated alike; of rows with one id and different texts, equal lines at the same place stay in each. Empty tables give empty results. Hot lines are joined as plain
@@ -22,7 +27,7 @@ tables, whose hot keys Spark splits.
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +35,10 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 
-#: Blocks of a SimHash and how many must agree, lines of a small bucket, by how much leaders grow with each round, words added up in one 8-bit lane.
-BLOCKS, AGREE, SMALL, LEADERS, PIECE = 4, 2, 16, 8, 127
+#: Lines of a small bucket, by how much leaders grow with each round, words added up in one 8-bit lane, slots of the table of words (as a power of two), one text in how many it counts.
+SMALL, LEADERS, PIECE, SLOTS, SAMPLE = 16, 8, 127, 18, 8
 LAST = (1 << 63) - 1
-_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+_SPACES = r"[ \t\r\x0b\x0c]+"
 
 
 def _plain(text: Column) -> Column:
@@ -63,11 +68,21 @@ def _simhash(counts: list[Column], n: Column, width: int, bit: int) -> Column:
     return out
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, line_no, line_id, size, simhash) of every line; line_id is null where a line has no words."""
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, _SPACES), "")
+
+
+def _line_id(line: Column) -> Column:
+    return F.when(F.trim(line) != "", F.xxhash64(F.trim(line)))
+
+
+def lines(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """(doc_id, text_id, line_no, line_id, size, simhash) of every line, the last if hashed; line_id is null where a line has no words."""
     d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), _plain(F.col("text")).alias("text"))
     d = d.select("doc_id", "text_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    named = F.when(F.trim("line") != "", F.xxhash64(F.trim("line"))).alias("line_id")
+    named = _line_id(F.col("line")).alias("line_id")
+    if not hashed:
+        return written(d.select("doc_id", "text_id", "line_no", named, F.size(F.array_distinct(_words(F.col("line")))).cast("long").alias("size")), "lines")
     each = d.select("doc_id", "text_id", "row", "line_no", named, F.posexplode(F.array_distinct(F.split("line", r"[ \t\r\x0b\x0c]"))).alias("at", "word"))
     key = ["doc_id", "text_id", "row", "line_no", "line_id"]
     each = each.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.when(F.col("word") != "", F.xxhash64("word")).alias("h"))
@@ -84,69 +99,109 @@ def lines(docs: DataFrame) -> DataFrame:
     return first.where("sums is null").select(*key, "size", "simhash").union(longer).drop("row")
 
 
-def block_keys(simhash: str) -> Column:
-    """A key for every choice of AGREE blocks."""
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(_CUTS, _CUTS[1:], strict=False)]
-    return F.array(*(F.xxhash64(F.lit(i), F.col(simhash).bitwiseAND(_long(sum(c)))) for i, c in enumerate(combinations(masks, AGREE))))
+def _edits(n: Column, similarity: float) -> Column:
+    """The most edits between a line of n words and a partner, which may be longer."""
+    return F.floor(n * F.lit((1 - similarity) / similarity) + 1e-9).cast("int")
+
+
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - SLOTS).cast("int")
+
+
+def commonness(docs: DataFrame) -> bytes:
+    """How common the words of each slot are, a byte each on a scale of logarithms, from one in SAMPLE texts. It orders words and decides no result."""
+    some = docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    slots = some.select(F.explode(F.split(_plain(F.col("text")), r"[ \n\t\r\x0b\x0c]+")).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
+    out = bytearray(1 << SLOTS)
+    for slot, n in slots.groupBy("slot").agg(F.count("*").alias("n")).collect():  # the table's fixed size
+        out[slot] = min(255, int(4 * math.log2(n + 1)))
+    return bytes(out)
+
+
+def _first(words: Column, edits: Column, table: bytes) -> Column:
+    """The first edits + 1 words, the rarest ones first."""
+    ranked = F.transform(words, lambda w: F.struct(F.substring(F.lit(table), _slot(w) + 1, F.lit(1)).alias("r"), w.alias("h")))
+    return F.slice(F.array_sort(ranked), F.lit(1), edits + 1)
+
+
+def _keys(first: str) -> Column:
+    """Keys of those words; occurrences of one word are told apart."""
+    return F.transform(first, lambda x, i: F.xxhash64(x["h"], i.cast("long") - F.array_position(first, x)))
+
+
+def _coded(words: Column) -> Column:
+    """A line's word hashes as a string with one character for each word, of 20 bits, so that edit distance counts words."""
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w + 65_536), 8, "0")), "")), "UTF-32")
+
+
+def _parity(words: Column) -> Column:
+    """Whether an odd number of words falls in each of 64 slots; k edits change at most 2 k of these bits."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
-def _coded(line: Column) -> Column:
-    """A plain line as a string with one character for each word, from a hash of 20 bits, so that edit distance counts words."""
-    words = F.array_remove(F.split(line, r"[ \t\r\x0b\x0c]+"), "")
-    point = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(900_000)) + 65_536), 8, "0"))
-    return F.decode(F.unhex(F.array_join(point, "")), "UTF-32")
+def _most(a: str, b: str, similarity: float) -> Column:
+    """The most edits between two alike lines of so many words."""
+    return F.floor(F.greatest(a, b) * F.lit(1 - similarity) + 1e-9).cast("int")
 
 
-def _near(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def _possible(most: Column) -> Column:
+    """Whether lengths and parities leave open that lines a and b are at a distance of `most` at most."""
+    return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= most * 2)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: int | None) -> DataFrame:
     """Those of the pairs (a, b) of line ids whose lines are alike."""
-    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("line").alias(f"{x}_line"))
+    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("words").alias(f"{x}_words"), *([F.col("simhash").alias(f"{x}_hash")] if distance is not None else []))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("a_line"), F.length("b_line")) * F.lit(1 - similarity) + 1e-9).cast("int"))
-    return both.where((F.abs(F.length("a_line") - F.length("b_line")) <= F.col("most")) & F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
+    if distance is not None:
+        both = both.where(F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance)
+    both = both.withColumn("most", F.floor(F.greatest(F.size("a_words"), F.size("b_words")) * F.lit(1 - similarity) + 1e-9).cast("int"))
+    both = both.select("a", "b", "most", _coded(F.col("a_words")).alias("a_line"), _coded(F.col("b_words")).alias("b_line"))
+    return both.where(F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
 
 
-def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int) -> DataFrame:
-    """Links (a, b) between ids of like lines. known: (line_id, doc_id, line_no, size, simhash) of each distinct line's first occurrence."""
+def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int | None) -> DataFrame:
+    """Links (a, b) between ids of like lines. known: (line_id, place, doc_id, line_no, size and, with a distance, simhash) of each distinct line's first occurrence."""
     long_enough = known.where(F.col("size") * F.lit(1 - similarity) + 1e-9 >= 1)  # shorter lines are alike only if equal
-    keyed = long_enough.select(F.explode(block_keys("simhash")).alias("key"), "line_id")
-    members = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    members = written(members.join(long_enough.select("line_id", "simhash", "place"), "line_id"), "buckets")
-    small = members.where(F.col("n") <= SMALL)
-    side = lambda df, x: df.select("key", F.col("line_id").alias(x), F.col("simhash").alias(f"{x}_hash"))
-    pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b").distinct(), "pairs")
     # the words of what is to be compared, from the documents of the lines' first occurrences
-    large = members.where(F.col("n") > SMALL)
-    compared = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")).distinct()
-    wanted = known.join(compared, "line_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id")).alias("wanted"))
+    more = ["simhash"] if distance is not None else []
+    wanted = long_enough.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id", "place", *more)).alias("wanted"))
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").join(wanted, "doc_id")
     texts = texts.select(F.split(_plain(F.col("text")), "\n", -1).alias("all"), "wanted").select("all", F.inline("wanted")).where("line_no < size(all)")
-    # of several texts with one id, that which has the line is told by nothing but its words; any of them is verified
-    texts = written(texts.select("line_id", _coded(F.element_at("all", F.col("line_no") + 1)).alias("line")).distinct(), "texts")
-    found = written(_verified(pairs, texts, similarity), "like")
-    open_, k, order = large, 1, F.struct("place", "line_id", "simhash")
+    # of several texts with one id, only those that have the line at its place count
+    texts = texts.select("line_id", "place", *more, F.element_at("all", F.col("line_no") + 1).alias("line")).where(_line_id(F.col("line")) == F.col("line_id"))
+    texts = texts.select("line_id", "place", *more, F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
+    size = F.size("hashes")
+    shaped = texts.select("line_id", "place", *more, F.transform("hashes", lambda h: F.pmod(h, F.lit(900_000)).cast("int")).alias("words"), size.alias("size"), _parity(F.col("hashes")).alias("parity"), _first(F.col("hashes"), _edits(size, similarity), commonness(docs)).alias("first"))
+    texts = written(shaped.withColumn("keys", _keys("first")).drop("first"), "texts")
+    keyed = texts.select(F.explode("keys").alias("key"), "line_id", "place", "size", "parity")
+    members = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
+    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    side = lambda df, x: df.select("key", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("parity").alias(f"{x}_parity"))
+    most = _most("a_size", "b_size", similarity)
+    pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _possible(most)).select("a", "b").distinct(), "pairs")
+    found = written(_verified(pairs, texts, similarity, distance), "like")
+    open_, k, order = large, 1, F.struct("place", "line_id", "size", "parity")
     while not open_.isEmpty():
         # the first of the open lines leads, as most buckets are around one line; later the first of each of k classes
         lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
-        lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.simhash").alias("a_hash")), "leaders")
-        tried = lead.join(side(open_, "b"), "key").where((F.col("a") != F.col("b")) & _near("a_hash", "b_hash", distance)).select("a", "b")
-        alike = written(_verified(tried, texts, similarity), "like")
+        lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.size").alias("a_size"), F.col("o.parity").alias("a_parity")), "leaders")
+        tried = lead.join(side(open_, "b"), "key").where((F.col("a") != F.col("b")) & _possible(most)).select("a", "b")
+        alike = written(_verified(tried, texts, similarity, distance), "like")
         found, k = found.union(alike), k * LEADERS
         joined = lead.join(alike, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
         open_ = written(open_.join(joined, ["key", "line_id"], "left_anti"), "open")
     return found
 
 
-def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> DataFrame:
+def dropped(docs: DataFrame, similarity: float = 0.9, distance: int | None = None) -> DataFrame:
     """(doc_id, text_id, flags, n_left): for every document that loses a line, whether each of its lines goes."""
-    all_lines = lines(docs)
-    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(_place("doc_id", "line_no")).alias("place"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("simhash").alias("simhash"))
+    all_lines = lines(docs, distance is not None)
+    more = [] if distance is None else ["simhash"]
+    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(_place("doc_id", "line_no")).alias("place"), F.count("*").alias("n"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in more))
     base = F.lit(1 << 31).cast("decimal(11,0)")
     line_no = F.pmod(F.col("place"), base)
-    first = written(first.select("line_id", "place", ((F.col("place") - line_no) / base).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"), "n", "size", "simhash"), "first")
+    first = written(first.select("line_id", "place", ((F.col("place") - line_no) / base).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"), "n", "size", *more), "first")
     group = written(components(links(docs, first, similarity, distance)), "groups")
     grouped = group.join(first, group["node"] == first["line_id"]).select("component", "line_id", "place")
     kept = written(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
@@ -158,7 +213,7 @@ def dropped(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> Dat
     return per_doc.select("doc_id", "text_id", F.col("f.goes").alias("flags"), left.alias("n_left"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, distance: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.9, distance: int | None = None) -> DataFrame:
     """docs with repeated lines taken out of `text`; documents of which nothing but blank lines is left go."""
     gone = dropped(docs, similarity, distance).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("flags").alias("_flags"), F.col("n_left").alias("_left"))
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_text", F.xxhash64("text"))

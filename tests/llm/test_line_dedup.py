@@ -98,3 +98,30 @@ def test_odd_rows(spark):
     assert len(got) == 9
     assert L.dedup_lines(H.docs(spark, ["a"]).limit(0)).collect() == []
     assert L.dedup_lines(H.docs(spark, ["a", "b"], extra=True)).count() == 2
+
+
+def _all_pairs(lines):
+    """The lines that stay if all pairs are compared, by number."""
+    words = [_norm(x).split() for x in lines]
+    like = lambda a, b: a == b or _lev(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)
+    first = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if first[i] != first[j] and like(words[i], words[j]):
+                low, high = sorted((first[i], first[j]))
+                first = [low if f == high else f for f in first]
+    return {i for i in range(len(lines)) if first[i] == i}
+
+
+def test_recall_is_whole(spark):
+    """All lines with an edit similarity of 0.9 or more are found, whatever their SimHashes."""
+    rng = random.Random(8)
+    lines = []
+    for _ in range(40):
+        base = H.sentence(rng, rng.choice([10, 20, 30, 60]), 300)
+        lines += [base] + H.near_copies(rng, base, 3, (1, 3))
+        w = base.split()
+        lines.append(" ".join(w[1:] + ["moved"]) if len(w) > 19 else " ".join([*w, "added"]))
+    want = _all_pairs(lines)
+    assert len(lines) - len(want) > 60
+    assert _groups(spark, lines) == want
