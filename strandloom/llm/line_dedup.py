@@ -12,8 +12,10 @@ and a parity bit of the words in each of 64 slots (an edit changes at most two)
 
 Buckets of up to SMALL lines give all their pairs. A larger bucket is joined round its leaders: its first line is compared with
 all others; those unlike it stay open, and the first few of them, more in each round, are compared with all that are open,
-until every line was linked or has led. So a line of such a bucket is linked to the leaders that it resembles, not to other followers. Rows
-stay in proportion to what is open, no line is left out, and the number of rounds has no limit.
+until every line was linked or has led. A line that is linked to a leader leaves, but first it is compared with those it may be linked to
+beside the leader: by the triangle inequality, they are within twice the largest distance of the leader. So a bucket's links
+connect what all its pairs would connect. Rows stay in proportion to what is open, but for lines that are near a leader
+and unlike it; no line is left out, and the number of rounds has no limit.
 
 With `distance`, alike lines must also have SimHashes that differ in at most so many bits. A line's 64-bit SimHash is the majority of its
 distinct words' hashes at each bit (repeats of common words would make lines of one language alike); the counts are sums of packed
@@ -139,9 +141,9 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
-def _most(a: str, b: str, similarity: float) -> Column:
-    """The most edits between two alike lines of so many words."""
-    return F.floor(F.greatest(a, b) * F.lit(1 - similarity) + 1e-9).cast("int")
+def _most(longer: Column, similarity: float, wide: bool = False) -> Column:
+    """The most edits between two alike lines, the longer of so many words; with wide, between two that have a partner like both."""
+    return _edits(longer, similarity) * 2 if wide else F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int")
 
 
 def _possible(most: Column) -> Column:
@@ -149,15 +151,16 @@ def _possible(most: Column) -> Column:
     return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= most * 2)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: int | None) -> DataFrame:
-    """Those of the pairs (a, b) of line ids whose lines are alike."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: int | None, wide: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) of line ids whose lines are alike; with wide, all that a line may be apart that has a partner like both, with d, the edits, and like."""
     side = lambda x: texts.select(F.col("line_id").alias(x), F.col("words").alias(f"{x}_words"), *([F.col("simhash").alias(f"{x}_hash")] if distance is not None else []))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    if distance is not None:
-        both = both.where(F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance)
-    both = both.withColumn("most", F.floor(F.greatest(F.size("a_words"), F.size("b_words")) * F.lit(1 - similarity) + 1e-9).cast("int"))
-    both = both.select("a", "b", "most", _coded(F.col("a_words")).alias("a_line"), _coded(F.col("b_words")).alias("b_line"))
-    return both.where(F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
+    close = F.lit(True) if distance is None else F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance
+    longer = F.greatest(F.size("a_words"), F.size("b_words"))
+    both = both.select("a", "b", close.alias("close"), _most(longer, similarity).alias("most"), _most(longer, similarity, wide).alias("up_to"), _coded(F.col("a_words")).alias("a_line"), _coded(F.col("b_words")).alias("b_line"))
+    if not wide:
+        return both.where("close").where(F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
+    return both.withColumn("d", F.expr("levenshtein(a_line, b_line, up_to)")).where("d >= 0").select("a", "b", "d", (F.col("close") & (F.col("d") <= F.col("most"))).alias("like"))
 
 
 def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int | None) -> DataFrame:
@@ -178,7 +181,8 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int |
     members = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
     small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
     side = lambda df, x: df.select("key", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("parity").alias(f"{x}_parity"))
-    most = _most("a_size", "b_size", similarity)
+    longer = F.greatest("a_size", "b_size")
+    most = _most(longer, similarity)
     pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _possible(most)).select("a", "b").distinct(), "pairs")
     found = written(_verified(pairs, texts, similarity, distance), "like")
     open_, k, order = large, 1, F.struct("place", "line_id", "size", "parity")
@@ -186,9 +190,15 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int |
         # the first of the open lines leads, as most buckets are around one line; later the first of each of k classes
         lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
         lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.size").alias("a_size"), F.col("o.parity").alias("a_parity")), "leaders")
-        tried = lead.join(side(open_, "b"), "key").where((F.col("a") != F.col("b")) & _possible(most)).select("a", "b")
-        alike = written(_verified(tried, texts, similarity, distance), "like")
-        found, k = found.union(alike), k * LEADERS
+        tried = lead.join(side(open_, "b"), "key").where((F.col("a") != F.col("b")) & _possible(_most(longer, similarity, True))).select("a", "b")
+        tried = written(_verified(tried, texts, similarity, distance, True), "tried")
+        alike = tried.where("like").select("a", "b")
+        # followers leave, so what is unlike the leader but may be like a follower is compared with it now
+        about = texts.select("line_id", "size", "parity")
+        near = lambda rows, x: rows.select(F.col("a").alias("of"), F.col("b").alias("line_id"), F.col("d").alias(f"{x}_d")).join(about, "line_id").select("of", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("parity").alias(f"{x}_parity"), f"{x}_d")
+        beside = near(tried.where("like"), "a").join(near(tried.where("not like"), "b"), "of").where((F.col("a") != F.col("b")) & (F.abs(F.col("a_d") - F.col("b_d")) <= most) & _possible(most))
+        beside = written(_verified(beside.select("a", "b"), texts, similarity, distance), "like")
+        found, k = found.union(alike).union(beside), k * LEADERS
         joined = lead.join(alike, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
         open_ = written(open_.join(joined, ["key", "line_id"], "left_anti"), "open")
     return found

@@ -125,3 +125,16 @@ def test_recall_is_whole(spark):
     want = _all_pairs(lines)
     assert len(lines) - len(want) > 60
     assert _groups(spark, lines) == want
+
+
+def test_chain_in_large_bucket(spark, monkeypatch):
+    """A is like B and B is like C, but not A like C: all go to A, though B leaves with A."""
+    monkeypatch.setattr(L, "SMALL", 1)
+    rng = random.Random(5)
+    lines = []
+    for c in range(12):
+        base = H.sentence(rng, 20).split()
+        lines += [" ".join([f"n{c}x{i}" for i in range(2 * step)] + base[2 * step :]) for step in range(4)]
+    want = _all_pairs(lines)
+    assert len(want) == 12
+    assert _groups(spark, lines) == want
