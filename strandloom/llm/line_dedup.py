@@ -8,7 +8,7 @@ Candidates come from an exact prefix join, which loses no pair of lines that are
 an element of its own) at most k are missing in a line at distance k. So if all words have one order, the first k + 1 elements of both lines have one in common,
 with k the most by which a line may differ from any partner, however much longer that is. The order puts rare words first, by a
 table of fixed size counted over a part of the texts; what it holds only decides how many candidates there are. Lengths
-and a parity bit of the words in each of 64 slots (an edit changes at most two) rule candidates out before words are compared.
+and a parity bit of the words in each of 64 slots, 256 in large buckets (an edit changes at most two), rule candidates out before words are compared.
 
 Buckets of up to SMALL lines give all their pairs. A larger bucket is joined round its leaders: its first line is compared with
 all others; those unlike it stay open, and the first few of them, more in each round, are compared with all that are open,
@@ -79,14 +79,14 @@ def _line_id(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, hashed: bool = True) -> DataFrame:
-    """(doc_id, text_id, line_no, line_id, size, simhash) of every line, the last if hashed; line_id is null where a line has no words."""
+    """(doc_id, text_id, line_no, line_id, words and, if hashed, size, simhash) of every line: words counts repeats, size doesn't; line_id is null where a line has no words."""
     d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), _plain(F.col("text")).alias("text"))
     d = d.select("doc_id", "text_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     named = _line_id(F.col("line")).alias("line_id")
     if not hashed:
-        return written(d.select("doc_id", "text_id", "line_no", named, F.size(F.array_distinct(_words(F.col("line")))).cast("long").alias("size")), "lines")
-    each = d.select("doc_id", "text_id", "row", "line_no", named, F.posexplode(F.array_distinct(F.split("line", r"[ \t\r\x0b\x0c]"))).alias("at", "word"))
-    key = ["doc_id", "text_id", "row", "line_no", "line_id"]
+        return written(d.select("doc_id", "text_id", "line_no", named, F.size(_words(F.col("line"))).cast("long").alias("words")), "lines")
+    each = d.select("doc_id", "text_id", "row", "line_no", named, F.size(_words(F.col("line"))).cast("long").alias("words"), F.posexplode(F.array_distinct(F.split("line", r"[ \t\r\x0b\x0c]"))).alias("at", "word"))
+    key = ["doc_id", "text_id", "row", "line_no", "line_id", "words"]
     each = each.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.when(F.col("word") != "", F.xxhash64("word")).alias("h"))
     sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_long(0x0101010101010101))), F.lit(0)).alias(f"s{i}") for i in range(8)]
     counted = each.groupBy(*key, "piece").agg(F.count("h").alias("n"), F.count("*").alias("parts"), *sums)
@@ -136,9 +136,15 @@ def _coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w + 65_536), 8, "0")), "")), "UTF-32")
 
 
-def _parity(words: Column) -> Column:
-    """Whether an odd number of words falls in each of 64 slots; k edits change at most 2 k of these bits."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+def _parities(words: Column) -> Column:
+    """Whether an odd number of words falls in each of 256 slots, as four numbers; k edits change at most 2 k of these bits."""
+    own = lambda j: F.aggregate(words, F.lit(0).cast("long"), lambda x, w: F.when(F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(3).cast("long")) == j, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int")))).otherwise(x))
+    return F.array(*(own(j) for j in range(4)))
+
+
+def _folded(bits: str) -> Column:
+    """The parities of 64 slots."""
+    return F.col(bits)[0].bitwiseXOR(F.col(bits)[1]).bitwiseXOR(F.col(bits)[2]).bitwiseXOR(F.col(bits)[3])
 
 
 def _most(longer: Column, similarity: float, wide: bool = False) -> Column:
@@ -146,9 +152,10 @@ def _most(longer: Column, similarity: float, wide: bool = False) -> Column:
     return _edits(longer, similarity) * 2 if wide else F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int")
 
 
-def _possible(most: Column) -> Column:
-    """Whether lengths and parities leave open that lines a and b are at a distance of `most` at most."""
-    return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= most * 2)
+def _possible(most: Column, fine: bool = False) -> Column:
+    """Whether lengths and parities (of all 256 slots if fine) leave open that lines a and b are at a distance of `most` at most."""
+    xor = [F.col("a_bits")[j].bitwiseXOR(F.col("b_bits")[j]) for j in range(4)] if fine else [F.col("a_parity").bitwiseXOR(F.col("b_parity"))]
+    return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (sum((F.bit_count(x) for x in xor), F.lit(0)) <= most * 2)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: int | None, wide: bool = False) -> DataFrame:
@@ -164,8 +171,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: i
 
 
 def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int | None) -> DataFrame:
-    """Links (a, b) between ids of like lines. known: (line_id, place, doc_id, line_no, size and, with a distance, simhash) of each distinct line's first occurrence."""
-    long_enough = known.where(F.col("size") * F.lit(1 - similarity) + 1e-9 >= 1)  # shorter lines are alike only if equal
+    """Links (a, b) between ids of like lines. known: (line_id, place, doc_id, line_no, words (how many, repeats too) and, with a distance, simhash) of each distinct line's first occurrence."""
+    long_enough = known.where(_edits(F.col("words"), similarity) >= 1)  # shorter lines are alike only if equal
     # the words of what is to be compared, from the documents of the lines' first occurrences
     more = ["simhash"] if distance is not None else []
     wanted = long_enough.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id", "place", *more)).alias("wanted"))
@@ -175,28 +182,29 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int |
     texts = texts.select("line_id", "place", *more, F.element_at("all", F.col("line_no") + 1).alias("line")).where(_line_id(F.col("line")) == F.col("line_id"))
     texts = texts.select("line_id", "place", *more, F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
     size = F.size("hashes")
-    shaped = texts.select("line_id", "place", *more, F.transform("hashes", lambda h: F.pmod(h, F.lit(900_000)).cast("int")).alias("words"), size.alias("size"), _parity(F.col("hashes")).alias("parity"), _first(F.col("hashes"), _edits(size, similarity), commonness(docs)).alias("first"))
+    shaped = texts.select("line_id", "place", *more, F.transform("hashes", lambda h: F.pmod(h, F.lit(900_000)).cast("int")).alias("words"), size.alias("size"), _parities(F.col("hashes")).alias("bits"), _first(F.col("hashes"), _edits(size, similarity), commonness(docs)).alias("first"))
     texts = written(shaped.withColumn("keys", _keys("first")).drop("first"), "texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "line_id", "place", "size", "parity")
+    keyed = texts.select(F.explode("keys").alias("key"), "line_id", "place", "size", _folded("bits").alias("parity"))
     members = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
     small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-    side = lambda df, x: df.select("key", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("parity").alias(f"{x}_parity"))
+    large = written(large.select("key", "line_id", "place", "size").join(texts.select("line_id", "bits"), "line_id"), "large")
+    side = lambda df, x, parity="parity": df.select("key", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col(parity).alias(f"{x}_{parity}"))
     longer = F.greatest("a_size", "b_size")
     most = _most(longer, similarity)
     pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _possible(most)).select("a", "b").distinct(), "pairs")
     found = written(_verified(pairs, texts, similarity, distance), "like")
-    open_, k, order = large, 1, F.struct("place", "line_id", "size", "parity")
+    open_, k, order = large, 1, F.struct("place", "line_id", "size", "bits")
     while not open_.isEmpty():
         # the first of the open lines leads, as most buckets are around one line; later the first of each of k classes
         lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
-        lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.size").alias("a_size"), F.col("o.parity").alias("a_parity")), "leaders")
-        tried = lead.join(side(open_, "b"), "key").where((F.col("a") != F.col("b")) & _possible(_most(longer, similarity, True))).select("a", "b")
+        lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.size").alias("a_size"), F.col("o.bits").alias("a_bits")), "leaders")
+        tried = lead.join(side(open_, "b", "bits"), "key").where((F.col("a") != F.col("b")) & _possible(_most(longer, similarity, True), True)).select("a", "b")
         tried = written(_verified(tried, texts, similarity, distance, True), "tried")
         alike = tried.where("like").select("a", "b")
         # followers leave, so what is unlike the leader but may be like a follower is compared with it now
-        about = texts.select("line_id", "size", "parity")
-        near = lambda rows, x: rows.select(F.col("a").alias("of"), F.col("b").alias("line_id"), F.col("d").alias(f"{x}_d")).join(about, "line_id").select("of", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("parity").alias(f"{x}_parity"), f"{x}_d")
-        beside = near(tried.where("like"), "a").join(near(tried.where("not like"), "b"), "of").where((F.col("a") != F.col("b")) & (F.abs(F.col("a_d") - F.col("b_d")) <= most) & _possible(most))
+        about = texts.select("line_id", "size", "bits")
+        near = lambda rows, x: rows.select(F.col("a").alias("of"), F.col("b").alias("line_id"), F.col("d").alias(f"{x}_d")).join(about, "line_id").select("of", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"), f"{x}_d")
+        beside = near(tried.where("like"), "a").join(near(tried.where("not like"), "b"), "of").where((F.col("a") != F.col("b")) & (F.abs(F.col("a_d") - F.col("b_d")) <= most) & _possible(most, True))
         beside = written(_verified(beside.select("a", "b"), texts, similarity, distance), "like")
         found, k = found.union(alike).union(beside), k * LEADERS
         joined = lead.join(alike, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
@@ -208,10 +216,10 @@ def dropped(docs: DataFrame, similarity: float = 0.9, distance: int | None = Non
     """(doc_id, text_id, flags, n_left): for every document that loses a line, whether each of its lines goes."""
     all_lines = lines(docs, distance is not None)
     more = [] if distance is None else ["simhash"]
-    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(_place("doc_id", "line_no")).alias("place"), F.count("*").alias("n"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in more))
+    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(_place("doc_id", "line_no")).alias("place"), F.count("*").alias("n"), F.min("words").alias("words"), *(F.min(c).alias(c) for c in more))
     base = F.lit(1 << 31).cast("decimal(11,0)")
     line_no = F.pmod(F.col("place"), base)
-    first = written(first.select("line_id", "place", ((F.col("place") - line_no) / base).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"), "n", "size", *more), "first")
+    first = written(first.select("line_id", "place", ((F.col("place") - line_no) / base).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"), "n", "words", *more), "first")
     group = written(components(links(docs, first, similarity, distance)), "groups")
     grouped = group.join(first, group["node"] == first["line_id"]).select("component", "line_id", "place")
     kept = written(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")

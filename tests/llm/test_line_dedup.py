@@ -138,3 +138,9 @@ def test_chain_in_large_bucket(spark, monkeypatch):
     want = _all_pairs(lines)
     assert len(want) == 12
     assert _groups(spark, lines) == want
+
+
+def test_lines_of_few_distinct_words(spark):
+    """Ten words of which few are distinct may differ in one, and nine words are like ten."""
+    lines = ["a b a b a b a b a b", "a b a b a x a b a b", "one two three four five six seven eight nine", "one two three four five six seven eight nine ten", "p q r s t u v w", "p q r s t u v w x"]
+    assert _groups(spark, lines) == _all_pairs(lines) == {0, 2, 4, 5}
