@@ -1,9 +1,11 @@
-"""SentencePiece encoding and decoding as a max-plus (Viterbi) search over the vocabulary's scores.
+"""SentencePiece encoding and decoding: merges for a model of type BPE, a max-plus (Viterbi) search over the scores for others.
 
-An encoding is the path of pieces with the greatest sum of scores from a text's begin to its end; of equal sums, the one
+A BPE model's encoding merges, of all adjacent pairs that form a piece, the one with the greatest score (the first of equal ones), until
+none does. Pieces don't cross white space (see below), so each distinct pre-token is merged once per task.
+
+For other models, an encoding is the path of pieces with the greatest sum of scores from a text's begin to its end; of equal sums, the one
 whose last piece is longest, then the last but one, and so on. Scores are integers here, so sums are exact and the max-plus
-product is associative. This is how the library encodes with a unigram model; the given vocabulary's scores are ranks of
-merges, and for a model file of type BPE the library merges instead, which no max-plus product can express (see README).
+product is associative. This is how the library encodes with a unigram model.
 
 White space (and line ends, if no piece joins them) bounds all pieces, so a text is the sequence of its pre-tokens, and each distinct
 pre-token is searched once per task, all new ones side by side. A giant text, or one for whose vocabulary that does not
@@ -18,6 +20,7 @@ A literal U+2581 is read as a space, as the library does; only such texts don't
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from functools import lru_cache, partial
@@ -41,7 +44,12 @@ class Vocabulary:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
+        model = pb.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        self.merges = model.trainer_spec.model_type == pb.TrainerSpec.BPE
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -54,6 +62,8 @@ class Vocabulary:
         self.unknown, self.unknown_score = sp.unk_id(), int(np.rint(scores.min() * scale)) - 10 * scale
         pieces = {i: sp.id_to_piece(i) for i in plain}
         self.longest = max(map(len, pieces.values()))
+        self.ids = {p: i for i, p in pieces.items()}
+        self.ranks = {p: -s for p, s in zip(pieces.values(), scores.tolist(), strict=True)}
         self.cuts_space = not any(re.search("[^▁]▁", p) for p in pieces.values())
         self.cuts_line = not any("\n" in p and len(p) > 1 for p in pieces.values())
         self.bytes = [b""] * n
@@ -305,7 +315,7 @@ class Encoder:
     """Encodes texts, with a bounded list of known pre-tokens."""
 
     def __init__(self, v: Vocabulary, giant: int = GIANT, chunk: int = CHUNK):
-        self.v, self.giant, self.chunk = v, giant, chunk
+        self.v, self.giant, self.chunk, self.splits = v, giant, chunk, v.cuts_space
         self.pattern = re.compile(rb" *[^ \n]+| +|\n" if v.cuts_line else rb" *[^ ]+| +")
         self._clear()
 
@@ -313,6 +323,12 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _searched(self, short: list[bytes], long: list[bytes]) -> list[np.ndarray]:
+        found = []
+        for i in range(0, len(short), 50_000):
+            found += encode_words(self.v, [w.decode("utf-8", "surrogatepass") for w in short[i : i + 50_000]])
+        return found + [encode_chunks(self.v, characters(w.decode("utf-8", "surrogatepass")), self.chunk) for w in long]
+
     def _learn(self, words: list[bytes]):
         if len(self.known) > KEPT:
             self._clear()
@@ -320,10 +336,7 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         long = [w for w in new if len(w) > 4 * CHUNK]
         short = [w for w in new if len(w) <= 4 * CHUNK]
-        found = []
-        for i in range(0, len(short), 50_000):
-            found += encode_words(self.v, [w.decode("utf-8", "surrogatepass") for w in short[i : i + 50_000]])
-        found += [encode_chunks(self.v, characters(w.decode("utf-8", "surrogatepass")), self.chunk) for w in long]
+        found = self._searched(short, long)
         self.known.update(zip(short + long, range(len(self.size), len(self.size) + len(found)), strict=True))
         size = np.array([len(f) for f in found], dtype=np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
@@ -336,7 +349,7 @@ class Encoder:
         for k, t in enumerate(texts):
             if not t:
                 out[k] = np.zeros(0, np.int64)
-            elif len(t) > self.giant or not self.v.cuts_space:
+            elif len(t) > self.giant or not self.splits:
                 out[k] = encode_chunks(self.v, characters(" " + t.decode("utf-8", "surrogatepass")), self.chunk)
             else:
                 split[k] = self.pattern.findall(b" " + t)
@@ -350,6 +363,73 @@ class Encoder:
         return out
 
 
+def merged(v: Vocabulary, word: str) -> list[str]:
+    """The parts of a word after all merges."""
+    parts, get, none = list(word), v.ranks.get, float("inf")
+    if len(parts) > 128:
+        return _merged_long(v, parts)
+    ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while ranks and (least := min(ranks)) < none:
+        i = ranks.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(ranks):
+            ranks[i] = get(parts[i] + parts[i + 1], none)
+    return parts
+
+
+def _merged_long(v: Vocabulary, parts: list[str]) -> list[str]:
+    """The same by a heap of pairs and a linked list of parts, for words of any length."""
+    n = len(parts)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap: list[tuple] = []
+
+    def add(i: int, j: int):
+        if i >= 0 and j >= 0 and (rank := v.ranks.get(pair := parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (rank, i, j, len(pair)))
+
+    for i in range(n - 1):
+        add(i, i + 1)
+    while heap:
+        _, i, j, size = heapq.heappop(heap)
+        if not parts[i] or not parts[j] or len(parts[i]) + len(parts[j]) != size:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], ""
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        add(before[i], i)
+        add(i, after[i])
+    return [p for p in parts if p]
+
+
+class Merger(Encoder):
+    """Encodes texts by merges, pre-token by pre-token."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__(v, giant=1 << 62)
+        self.splits = True
+        if not v.cuts_space:
+            self.pattern = re.compile(rb"(?s).+")
+
+    def _searched(self, short: list[bytes], long: list[bytes]) -> list[np.ndarray]:
+        found, ids = [], self.v.ids.get
+        for w in short + long:
+            parts = merged(self.v, w.decode("utf-8", "surrogatepass").replace(" ", "▁"))
+            found.append(self.v.spelt(np.array([ids(p, -1) for p in parts], dtype=np.int64), np.array([ord(p[0]) for p in parts])))
+        return found
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return super().__call__([t.replace("▁".encode(), b" ") for t in texts])
+
+
+def encoder(v: Vocabulary, giant: int = GIANT, chunk: int = CHUNK) -> Encoder:
+    """What encodes as the model's type says."""
+    return Merger(v) if v.merges else Encoder(v, giant, chunk)
+
+
 def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
     """The text of ids: pieces side by side, without the space that encoding puts first."""
     return v.text_of(np.asarray(ids, dtype=np.int64)).tobytes()[1:]
@@ -359,7 +439,7 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     """doc_id and ids of each whole text."""
 
     def run(batches):
-        e = Encoder(vocabulary(model), giant, chunk)
+        e = encoder(vocabulary(model), giant, chunk)
         for b in batches:
             at, data = utf8(b.column("text"))
             for lo, hi in slices(at, AT_ONCE):
@@ -381,7 +461,7 @@ def decoded(encoded: DataFrame, model: str) -> DataFrame:
 
 def _checked(batches, model: str):
     v = vocabulary(model)
-    e = Encoder(v)
+    e = encoder(v)
     for b in batches:
         at, data = utf8(b.column("text"))
         ids_crc, n, same = [], [], []

@@ -86,3 +86,18 @@ def test_tables(spark):
     assert back == sorted((r.doc_id, r.text or "") for r in rows.where("doc_id <> 6").collect())
     assert P.round_trip(rows.limit(0), PATH).collect() == []
     assert P.round_trip(H.docs(spark, ["a b"], extra=True), PATH).first().round_trip
+
+
+def test_model_type_decides(spark, sf_dir):
+    """With the model as given, a BPE one, ids are the library's own."""
+    import zlib
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
+    texts += ["", " ", "a  b   c\n\n d", "x▁ y", "▁ ", "日本 😀\t\r\n", "theretherethe" * 900, "a" * 3000, "of the rest " * 9000]
+    want = [sp.encode(t) for t in texts]
+    assert [x.tolist() for x in P.encoder(P.vocabulary(PATH))([t.encode() for t in texts])] == want
+    got = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in P.round_trip(H.docs(spark, texts), PATH).collect()}
+    assert got == {i: (len(w), zlib.crc32(np.array(w, dtype="<i4").tobytes())) for i, w in enumerate(want)}
