@@ -2,7 +2,7 @@
 
 Each payload is padded with zero bytes to a positive multiple of 64 and stored, without loss, as 8-bit mono samples of a
 WAV file in a binary column. The stored table is written to the shared folder and read back; from what is read come the
-payload again, a short-time Fourier transform (Hann window of 1024 samples, step 512) and a fingerprint: the strongest
+payload again, a short-time Fourier transform (Hann window of 32 samples, step 8, so that the shortest payload has five frames) of the differences between neighbouring samples, whose level would outweigh all else, and a fingerprint: the strongest
 bin of each frame is a peak, each peak is paired with those of the next three frames, and a pair is a number made of both
 bins and their distance, kept together with the frame at which it starts.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, utf8, written
 
-UNIT, RATE, FRAME, STEP, AHEAD, BLOCK = 64, 8000, 1024, 512, 3, 2048
+UNIT, RATE, FRAME, STEP, AHEAD, BLOCK = 64, 8000, 32, 8, 3, 65536
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -46,6 +46,11 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def differences(samples: np.ndarray) -> np.ndarray:
+    """Each sample less the one before, with 128 as silence."""
+    return np.diff(samples.astype(np.int16), prepend=samples[:1].astype(np.int16)) + np.int16(128)
+
+
 def peaks(samples: np.ndarray) -> np.ndarray:
     """The strongest bin, the constant one apart, of every frame; the last frame is padded with silence."""
     n = max(1, -(-(len(samples) - FRAME) // STEP) + 1)
@@ -98,7 +103,7 @@ def fingerprints(media: DataFrame, keep_media: bool = False) -> DataFrame:
                 for m in part.column("media"):
                     media = m.as_py()
                     payload = from_wav(media)
-                    found = peaks(np.frombuffer(payload, dtype=np.uint8))
+                    found = peaks(differences(np.frombuffer(payload, dtype=np.uint8)))
                     times, pairs = fingerprint(found)
                     for k, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(found), times, pairs), strict=True):
                         out[k].append(v)

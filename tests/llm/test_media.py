@@ -48,3 +48,11 @@ def test_equal_texts_and_empty(spark):
     a, b = M.media_digests(H.docs(spark, ["same " * 900] * 2, extra=True)).drop("doc_id").collect()
     assert a == b
     assert M.media_digests(H.docs(spark, ["a"]).limit(0)).collect() == []
+
+
+def test_short_texts_have_pairs(spark):
+    """Texts of any length have pairs, and short ones that differ have different features (but for a single byte, whose spectrum is flat and has no peak)."""
+    texts = ["", "a", "a short text", "another short text", "one more of these", "the quick brown fox jumps over the lazy dog", "x" * 200, "lorem ipsum " * 20, "dolor sit amet " * 30]
+    features = [r.feature for r in M.media_digests(H.docs(spark, texts)).orderBy("doc_id").collect()]
+    assert all(int(f.split(":")[2]) > 0 for f in features)
+    assert len(set(features[2:])) == len(texts) - 2
