@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case, and nothing else.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -47,7 +48,44 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of a bit table, as a power of two; seven bits of a byte are used, so that it is an ASCII character.
+TABLE = 20
+
+
+def bit_table(hashes: DataFrame) -> bytes:
+    """A table of fixed size (1 MB) that tells for a 64-bit hash whether it may be among those in column h."""
+    at = F.shiftrightunsigned("h", 64 - TABLE)
+    bit = at.bitwiseAND(F.lit(7)) * 8 + F.pmod("h", F.lit(7))
+    rows_ = hashes.select(F.shiftright(at, 3).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(1 << TABLE - 3, dtype="<i8")
+    out[[r.word for r in rows_]] = [r.bits for r in rows_]
+    return out.tobytes()
+
+
+def has_bit(h: Column, table: bytes) -> Column:
+    byte = F.ascii(F.substring(F.lit(table), F.shiftrightunsigned(h, 64 - TABLE).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, F.pmod(h, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,240 +1,221 @@
 """Line dedup: one occurrence of each group of equal or similar lines is kept; DataFrame operations only.
 
-A line is its text in lower case without ASCII marks; a 64-bit hash of that names it. Its words are what white space leaves
-of it. Two lines are alike if their edit distance, in words, is at most 1 - similarity of the longer line. Connected lines are a group, and its
-first occurrence (by document, then line) stays.
-
-Candidates come from an exact prefix join, which loses no pair of lines that are alike. Of the words of a line (the i-th occurrence of a word being
-an element of its own) at most k are missing in a line at distance k. So if all words have one order, the first k + 1 elements of both lines have one in common,
-with k the most by which a line may differ from any partner, however much longer that is. The order puts rare words first, by a
-table of fixed size counted over a part of the texts; what it holds only decides how many candidates there are. Lengths
-and a parity bit of the words in each of 64 slots, 256 in large buckets (an edit changes at most two), rule candidates out before words are compared.
-
-Buckets of up to SMALL lines give all their pairs. A larger bucket is joined round its leaders: its first line is compared with
-all others; those unlike it stay open, and the first few of them, more in each round, are compared with all that are open,
-until every line was linked or has led. A line that is linked to a leader leaves, but first it is compared with those it may be linked to
-beside the leader: by the triangle inequality, they are within twice the largest distance of the leader. So a bucket's links
-connect what all its pairs would connect. Rows stay in proportion to what is open, but for lines that are near a leader
-and unlike it; no line is left out, and the number of rounds has no limit.
-
-With `distance`, alike lines must also have SimHashes that differ in at most so many bits. A line's 64-bit SimHash is the majority of its
-distinct words' hashes at each bit (repeats of common words would make lines of one language alike); the counts are sums of packed
-eight-bit lanes, in generated code, and rows of a line of over 127 distinct words are added up in wider lanes.
+A line's words are what ASCII marks and white space leave of it in lower case; a 64-bit hash of its words names it. Two
+lines are alike if their edit distance, in words, is at most 1 - similarity of the longer line. Connected lines are a group,
+and its first occurrence (by document, then line) stays.
+
+Blocks. By the pigeonhole principle k edits leave k + 1 runs of a line untouched, so lines that are alike share runs of
+words. A line of up to twice as many words as admit one edit has its first and its last RUN + 1 words as blocks: one edit leaves one of them
+as it is, so no pair is lost. A longer line has blocks of RUN words that begin at its ANCHORS words of the least hashes; what
+is chosen depends on the words alone, not on their places. An edit changes at most RUN blocks, and all chosen ones must be hit for a
+pair to be lost: the README gives the measured share. SimHash blocks lose two thirds of such pairs (see there).
+
+Blocks shared by up to SMALL lines give all their pairs of fitting lengths. In a larger one the lines first meet LEADERS of
+their own; those that are unlike all of them go on to blocks of one more shared key, as long as there are more keys, and after that to further leaders, until
+each has been linked or has led. Leaders meet all lines of their block, linked ones too. Rows stay in proportion to the lines;
+no line is left out.
 
 Lines without words are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
-a null text passes through; null ids come last in order. Rows with one id and one text are one document, whose rows are
-treated alike; of rows with one id and different texts, equal lines at the same place stay in each. Empty tables give empty results. Hot lines are joined as plain
-tables, whose hot keys Spark splits.
+a null text passes through; null ids come last in order, by their texts. Rows with one id and one text are one document, whose rows are
+treated alike; rows with one id and different texts are documents of their own, ordered by a hash of the text. Empty tables give
+empty results; texts of any length are taken whole. Hot lines are counted before they are shuffled, or joined as plain tables, whose hot keys Spark splits.
+Columns of the input may have any names.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bit_table, forget, free_name, has_bit, written
 from .components import components
 
-#: Lines of a small bucket, by how much leaders grow with each round, words added up in one 8-bit lane, slots of the table of words (as a power of two), one text in how many it counts.
-SMALL, LEADERS, PIECE, SLOTS, SAMPLE = 16, 8, 127, 18, 8
+#: Lines of a small block, leaders of a large one, words of a run, runs of a line, bits of a place within a line.
+SMALL, LEADERS, RUN, ANCHORS, PLACES = 64, 4, 4, 5, 24
+#: Edits up to which distances are tried first, as a band's cost grows with it.
+FEW = 4
 LAST = (1 << 63) - 1
-_SPACES = r"[ \t\r\x0b\x0c]+"
-
-
-def _plain(text: Column) -> Column:
-    """A text in lower case without ASCII marks."""
-    return F.regexp_replace(F.lower(text), r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", "")
-
-
-def _place(doc: str, line: str) -> Column:
-    """Order of occurrence as one number, which hash aggregation can take the least of."""
-    return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line)
-
+#: ASCII marks and white space but the line end.
+_BETWEEN = r"[\x09\x0b-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 
-def _long(x: int) -> Column:
-    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
-
-def _simhash(counts: list[Column], n: Column, width: int, bit: int) -> Column:
-    """The bits that over half of n words have. counts[j] holds those of bits j, j + len(counts), ... in lanes of `width` bits.
-
-    In a lane, twice a count plus 2^bit - 1 - n has that bit set if the count is over half; for n below 2^bit no sum reaches
-    another lane or the sign.
-    """
-    ones, out = _long(sum(1 << s for s in range(0, 64, width))), F.lit(0).cast("long")
-    for j, c in enumerate(counts):
-        over = F.shiftrightunsigned(c * 2 + ((1 << bit) - 1 - n) * ones, bit).bitwiseAND(ones)
-        out = out.bitwiseOR(F.shiftleft(over, j))
-    return out
+def _words(line: Column) -> Column:
+    """The words of a line in lower case."""
+    return F.array_remove(F.split(line, _BETWEEN), "")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, _SPACES), "")
+def _doc(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
 
 
-def _line_id(line: Column) -> Column:
-    return F.when(F.trim(line) != "", F.xxhash64(F.trim(line)))
+def _text_key(text: str) -> Column:
+    """31 bits that tell texts of one id apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def lines(docs: DataFrame, hashed: bool = True) -> DataFrame:
-    """(doc_id, text_id, line_no, line_id, words and, if hashed, size, simhash) of every line: words counts repeats, size doesn't; line_id is null where a line has no words."""
-    d = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), _plain(F.col("text")).alias("text"))
-    d = d.select("doc_id", "text_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    named = _line_id(F.col("line")).alias("line_id")
-    if not hashed:
-        return written(d.select("doc_id", "text_id", "line_no", named, F.size(_words(F.col("line"))).cast("long").alias("words")), "lines")
-    each = d.select("doc_id", "text_id", "row", "line_no", named, F.size(_words(F.col("line"))).cast("long").alias("words"), F.posexplode(F.array_distinct(F.split("line", r"[ \t\r\x0b\x0c]"))).alias("at", "word"))
-    key = ["doc_id", "text_id", "row", "line_no", "line_id", "words"]
-    each = each.select(*key, F.floor(F.col("at") / PIECE).cast("int").alias("piece"), F.when(F.col("word") != "", F.xxhash64("word")).alias("h"))
-    sums = [F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(_long(0x0101010101010101))), F.lit(0)).alias(f"s{i}") for i in range(8)]
-    counted = each.groupBy(*key, "piece").agg(F.count("h").alias("n"), F.count("*").alias("parts"), *sums)
-    half = _long(0x00FF00FF00FF00FF)
-    halves = [F.col(f"s{i}").bitwiseAND(half) for i in range(8)] + [F.shiftrightunsigned(f"s{i}", 8).bitwiseAND(half) for i in range(8)]
-    # only lines of PIECE parts or more can have several rows here, and only they keep their counts
-    whole = (F.col("piece") == 0) & (F.col("parts") < PIECE)
-    first = written(counted.select(*key, F.col("n").alias("size"), F.when(whole, _simhash(halves, F.col("n"), 16, 9)).alias("simhash"), F.when(~whole, F.array(*(f"s{i}" for i in range(8)))).alias("sums")), "lines")
-    byte = _long(0x000000FF000000FF)
-    longer = first.where("sums is not null").groupBy(*key).agg(F.sum("size").alias("size"), *(F.sum(F.shiftrightunsigned(F.col("sums")[j % 8], 8 * (j // 8)).bitwiseAND(byte)).alias(f"c{j}") for j in range(32)))
-    longer = longer.select(*key, "size", _simhash([F.col(f"c{j}") for j in range(32)], F.col("size"), 32, 30).alias("simhash"))
-    return first.where("sums is null").select(*key, "size", "simhash").union(longer).drop("row")
+_BASE = 1 << 31
 
 
-def _edits(n: Column, similarity: float) -> Column:
-    """The most edits between a line of n words and a partner, which may be longer."""
-    return F.floor(n * F.lit((1 - similarity) / similarity) + 1e-9).cast("int")
+def _place(doc: str, key: str, line: str) -> Column:
+    """Order of occurrence (document, text, line) as one number, which hash aggregation can take the least of."""
+    within = F.col(key) * F.lit(_BASE) + F.col(line)
+    return F.col(doc).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + within.cast("decimal(19,0)")
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - SLOTS).cast("int")
+def _runs(words: str, n: str, run: int) -> Column:
+    """Keys of the runs of `run` words that begin at the words of the least hashes; a place is kept in the low bits of a hash."""
+    low = (1 << PLACES) - 1
+    hashed = F.transform(F.slice(F.col(words), F.lit(1), F.greatest(F.col(n) - (run - 1), F.lit(0))), lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
+    least = F.slice(F.sort_array(hashed), F.lit(1), F.lit(ANCHORS))
+    word = lambda a, j: F.get(F.col(words), a.bitwiseAND(F.lit(low)).cast("int") + j)
+    return F.array_distinct(F.transform(least, lambda a: F.xxhash64(*(word(a, j) for j in range(run)))))
 
 
-def commonness(docs: DataFrame) -> bytes:
-    """How common the words of each slot are, a byte each on a scale of logarithms, from one in SAMPLE texts. It orders words and decides no result."""
-    some = docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    slots = some.select(F.explode(F.split(_plain(F.col("text")), r"[ \n\t\r\x0b\x0c]+")).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
-    out = bytearray(1 << SLOTS)
-    for slot, n in slots.groupBy("slot").agg(F.count("*").alias("n")).collect():  # the table's fixed size
-        out[slot] = min(255, int(4 * math.log2(n + 1)))
-    return bytes(out)
+def _least(edits: int, similarity: float) -> int:
+    """The fewest words of a line between which and an alike one there can be so many edits, and that is the longer."""
+    return next((n for n in range(1, 1 << 16) if int(n * (1 - similarity) + 1e-9) >= edits), 1 << 30)
 
 
-def _first(words: Column, edits: Column, table: bytes) -> Column:
-    """The first edits + 1 words, the rarest ones first."""
-    ranked = F.transform(words, lambda w: F.struct(F.substring(F.lit(table), _slot(w) + 1, F.lit(1)).alias("r"), w.alias("h")))
-    return F.slice(F.array_sort(ranked), F.lit(1), edits + 1)
+def _blocks(words: str, n: str, similarity: float) -> Column:
+    """Keys of a line's blocks; none for lines that are alike only if equal."""
+    one, two = _least(1, similarity), _least(2, similarity)
+    half = max(1, one // 2)
+    end = lambda start, tag: F.xxhash64(F.lit(tag), F.slice(F.col(words), start, F.lit(half)))
+    ends = F.array(end(F.lit(1), 1), end(F.greatest(F.col(n) - (half - 1), F.lit(1)), 2))
+    runs = _runs(words, n, RUN)
+    none = F.array().cast("array<bigint>")
+    return F.when(F.col(n) < one - 1, none).when(F.col(n) < two - 2, ends).when(F.col(n) < two, F.concat(ends, runs)).otherwise(runs)
 
 
-def _keys(first: str) -> Column:
-    """Keys of those words; occurrences of one word are told apart."""
-    return F.transform(first, lambda x, i: F.xxhash64(x["h"], i.cast("long") - F.array_position(first, x)))
+def lines(docs: DataFrame, similarity: float) -> DataFrame:
+    """(place, line_id, n, blocks, line) of every line: n counts words, line is in lower case; line_id is null where a line has no words."""
+    d = docs.where(F.col("text").isNotNull()).select(_doc("doc_id").alias("doc"), _text_key("text").alias("text_key"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    d = d.select(_place("doc", "text_key", "line_no").alias("place"), "line", _words(F.col("line")).alias("words"))
+    d = d.select("place", "line", "words", F.size("words").alias("n"))
+    return written(d.select("place", F.when(F.col("n") > 0, F.xxhash64("words")).alias("line_id"), "n", _blocks("words", "n", similarity).alias("blocks"), "line"), "lines")
 
 
 def _coded(words: Column) -> Column:
-    """A line's word hashes as a string with one character for each word, of 20 bits, so that edit distance counts words."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w + 65_536), 8, "0")), "")), "UTF-32")
-
-
-def _parities(words: Column) -> Column:
-    """Whether an odd number of words falls in each of 256 slots, as four numbers; k edits change at most 2 k of these bits."""
-    own = lambda j: F.aggregate(words, F.lit(0).cast("long"), lambda x, w: F.when(F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(3).cast("long")) == j, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63).cast("long")).cast("int")))).otherwise(x))
-    return F.array(*(own(j) for j in range(4)))
-
-
-def _folded(bits: str) -> Column:
-    """The parities of 64 slots."""
-    return F.col(bits)[0].bitwiseXOR(F.col(bits)[1]).bitwiseXOR(F.col(bits)[2]).bitwiseXOR(F.col(bits)[3])
-
-
-def _most(longer: Column, similarity: float, wide: bool = False) -> Column:
-    """The most edits between two alike lines, the longer of so many words; with wide, between two that have a partner like both."""
-    return _edits(longer, similarity) * 2 if wide else F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int")
-
-
-def _possible(most: Column, fine: bool = False) -> Column:
-    """Whether lengths and parities (of all 256 slots if fine) leave open that lines a and b are at a distance of `most` at most."""
-    xor = [F.col("a_bits")[j].bitwiseXOR(F.col("b_bits")[j]) for j in range(4)] if fine else [F.col("a_parity").bitwiseXOR(F.col("b_parity"))]
-    return (F.abs(F.col("a_size") - F.col("b_size")) <= most) & (sum((F.bit_count(x) for x in xor), F.lit(0)) <= most * 2)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, distance: int | None, wide: bool = False) -> DataFrame:
-    """Those of the pairs (a, b) of line ids whose lines are alike; with wide, all that a line may be apart that has a partner like both, with d, the edits, and like."""
-    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("words").alias(f"{x}_words"), *([F.col("simhash").alias(f"{x}_hash")] if distance is not None else []))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    close = F.lit(True) if distance is None else F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= distance
-    longer = F.greatest(F.size("a_words"), F.size("b_words"))
-    both = both.select("a", "b", close.alias("close"), _most(longer, similarity).alias("most"), _most(longer, similarity, wide).alias("up_to"), _coded(F.col("a_words")).alias("a_line"), _coded(F.col("b_words")).alias("b_line"))
-    if not wide:
-        return both.where("close").where(F.expr("levenshtein(a_line, b_line, most) >= 0")).select("a", "b")
-    return both.withColumn("d", F.expr("levenshtein(a_line, b_line, up_to)")).where("d >= 0").select("a", "b", "d", (F.col("close") & (F.col("d") <= F.col("most"))).alias("like"))
-
-
-def links(docs: DataFrame, known: DataFrame, similarity: float, distance: int | None) -> DataFrame:
-    """Links (a, b) between ids of like lines. known: (line_id, place, doc_id, line_no, words (how many, repeats too) and, with a distance, simhash) of each distinct line's first occurrence."""
-    long_enough = known.where(_edits(F.col("words"), similarity) >= 1)  # shorter lines are alike only if equal
-    # the words of what is to be compared, from the documents of the lines' first occurrences
-    more = ["simhash"] if distance is not None else []
-    wanted = long_enough.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id", "place", *more)).alias("wanted"))
-    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text").join(wanted, "doc_id")
-    texts = texts.select(F.split(_plain(F.col("text")), "\n", -1).alias("all"), "wanted").select("all", F.inline("wanted")).where("line_no < size(all)")
-    # of several texts with one id, only those that have the line at its place count
-    texts = texts.select("line_id", "place", *more, F.element_at("all", F.col("line_no") + 1).alias("line")).where(_line_id(F.col("line")) == F.col("line_id"))
-    texts = texts.select("line_id", "place", *more, F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
-    size = F.size("hashes")
-    shaped = texts.select("line_id", "place", *more, F.transform("hashes", lambda h: F.pmod(h, F.lit(900_000)).cast("int")).alias("words"), size.alias("size"), _parities(F.col("hashes")).alias("bits"), _first(F.col("hashes"), _edits(size, similarity), commonness(docs)).alias("first"))
-    texts = written(shaped.withColumn("keys", _keys("first")).drop("first"), "texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "line_id", "place", "size", _folded("bits").alias("parity"))
-    members = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
-    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-    large = written(large.select("key", "line_id", "place", "size").join(texts.select("line_id", "bits"), "line_id"), "large")
-    side = lambda df, x, parity="parity": df.select("key", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col(parity).alias(f"{x}_{parity}"))
-    longer = F.greatest("a_size", "b_size")
-    most = _most(longer, similarity)
-    pairs = written(side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & _possible(most)).select("a", "b").distinct(), "pairs")
-    found = written(_verified(pairs, texts, similarity, distance), "like")
-    open_, k, order = large, 1, F.struct("place", "line_id", "size", "bits")
-    while not open_.isEmpty():
-        # the first of the open lines leads, as most buckets are around one line; later the first of each of k classes
-        lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(order).alias("o"))
-        lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.size").alias("a_size"), F.col("o.bits").alias("a_bits")), "leaders")
-        tried = lead.join(side(open_, "b", "bits"), "key").where((F.col("a") != F.col("b")) & _possible(_most(longer, similarity, True), True)).select("a", "b")
-        tried = written(_verified(tried, texts, similarity, distance, True), "tried")
-        alike = tried.where("like").select("a", "b")
-        # followers leave, so what is unlike the leader but may be like a follower is compared with it now
-        about = texts.select("line_id", "size", "bits")
-        near = lambda rows, x: rows.select(F.col("a").alias("of"), F.col("b").alias("line_id"), F.col("d").alias(f"{x}_d")).join(about, "line_id").select("of", F.col("line_id").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"), f"{x}_d")
-        beside = near(tried.where("like"), "a").join(near(tried.where("not like"), "b"), "of").where((F.col("a") != F.col("b")) & (F.abs(F.col("a_d") - F.col("b_d")) <= most) & _possible(most, True))
-        beside = written(_verified(beside.select("a", "b"), texts, similarity, distance), "like")
-        found, k = found.union(alike).union(beside), k * LEADERS
-        joined = lead.join(alike, "a").select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
-        open_ = written(open_.join(joined, ["key", "line_id"], "left_anti"), "open")
-    return found
-
-
-def dropped(docs: DataFrame, similarity: float = 0.9, distance: int | None = None) -> DataFrame:
-    """(doc_id, text_id, flags, n_left): for every document that loses a line, whether each of its lines goes."""
-    all_lines = lines(docs, distance is not None)
-    more = [] if distance is None else ["simhash"]
-    first = all_lines.where("line_id is not null").groupBy("line_id").agg(F.min(_place("doc_id", "line_no")).alias("place"), F.count("*").alias("n"), F.min("words").alias("words"), *(F.min(c).alias(c) for c in more))
-    base = F.lit(1 << 31).cast("decimal(11,0)")
-    line_no = F.pmod(F.col("place"), base)
-    first = written(first.select("line_id", "place", ((F.col("place") - line_no) / base).cast("long").alias("doc_id"), line_no.cast("int").alias("line_no"), "n", "words", *more), "first")
-    group = written(components(links(docs, first, similarity, distance)), "groups")
-    grouped = group.join(first, group["node"] == first["line_id"]).select("component", "line_id", "place")
+    """A line's words as a string with one character of 20 bits for each, so that edit distance counts words."""
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.concat(F.lit("000"), F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000))), "")), "UTF-32")
+
+
+def _most(a: str, b: str, similarity: float) -> Column:
+    """The most edits between two alike lines of so many words."""
+    return F.floor(F.greatest(a, b) * F.lit(1 - similarity) + 1e-9).cast("int")
+
+
+def _fit(similarity: float) -> Column:
+    return F.abs(F.col("a_n") - F.col("b_n")) <= _most("a_n", "b_n", similarity)
+
+
+def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    return df.select("key", F.col("line_id").alias(x), F.col("n").alias(f"{x}_n"), *more)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of line ids whose lines are alike."""
+    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("coded").alias(f"{x}_coded"), F.col("n").alias(f"{x}_n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_coded", "b_coded", _most("a_n", "b_n", similarity).alias("most"))
+    few = F.expr(f"levenshtein(a_coded, b_coded, least(most, {FEW})) >= 0")
+    return both.where(F.when(few, True).otherwise(F.expr("levenshtein(a_coded, b_coded, most) >= 0"))).select("a", "b")
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (key, line_id, ...) of blocks that several lines share, with their number m."""
+    several = written(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    bits = bit_table(several.select(F.col("key").alias("h")))
+    return written(rows.where(has_bit(F.col("key"), bits)).join(several, "key"), name)
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of lines of fitting lengths in small blocks."""
+    small = rows.where(F.col("m") <= SMALL)
+    return written(_side(small, "a").join(_side(small, "b"), "key").where((F.col("a") < F.col("b")) & _fit(similarity)).select("a", "b").distinct(), "pairs")
+
+
+def links(table: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between ids of like lines. known: (line_id, place, n, blocks) of each distinct line's first occurrence in the table of lines."""
+    shared = _counted(known.select(F.explode("blocks").alias("key"), "line_id", "n"), "blocks")
+    pairs, large = _pairs(shared, similarity), shared.where(F.col("m") > SMALL)
+    needed = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")).distinct()
+    needed = written(known.select("line_id", "place", "n").join(needed, "line_id"), "needed")
+    bits = bit_table(needed.select(F.xxhash64("line_id", "place").alias("h")))
+    texts = table.select("line_id", "place", "line").where(has_bit(F.xxhash64("line_id", "place"), bits)).join(needed, ["line_id", "place"])
+    # rows of one id and one text are one document, whose lines are here more than once
+    texts = written(texts.select("line_id", "n", _coded(_words(F.col("line"))).alias("coded")).dropDuplicates(["line_id"]), "coded")
+    found = written(_alike(pairs, texts, similarity), "like")
+    forget(pairs, needed)
+    return found if large.isEmpty() else found.union(_large(large.select("key", "line_id", "n"), texts, similarity))
+
+
+def _led(open_: DataFrame, whole: DataFrame, texts: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of k leaders of each block's open lines with all its lines, and what stays open."""
+    lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(F.struct("line_id", "n")).alias("o"))
+    lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.n").alias("a_n")), "leaders")
+    met = written(lead.join(_side(whole, "b"), "key").where((F.col("a") != F.col("b")) & _fit(similarity)).select("key", "a", "b"), "met")
+    like = written(_alike(met.select("a", "b").distinct(), texts, similarity), "like")
+    done = met.join(like, ["a", "b"]).select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
+    return like, written(open_.join(done, ["key", "line_id"], "left_anti"), "open")
+
+
+def _large(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links in large blocks: (key, line_id, n) of their lines."""
+    own = texts.select("line_id", "n", F.split("coded", "").alias("words")).select("line_id", _runs("words", "n", RUN - 1).alias("runs"))
+    rows = written(rows.join(own, "line_id").withColumn("used", F.array().cast("array<bigint>")), "large")
+    found = []
+    while not rows.isEmpty():
+        like, open_ = _led(rows, rows, texts, LEADERS, similarity)
+        found.append(like)
+        # what is open goes to blocks of one more run; a set of runs is one block
+        last, k = open_.where(F.size("used") == F.size("runs")), LEADERS
+        more = open_.withColumn("next", F.explode(F.array_except("runs", "used"))).withColumn("used", F.array_sort(F.array_append("used", F.col("next"))))
+        first = F.when(F.size("used") > 1, F.col("of")).otherwise(F.col("key")) if "of" in rows.columns else F.col("key")
+        more = more.withColumn("of", first).withColumn("key", F.xxhash64("of", "used")).drop("next").dropDuplicates(["key", "line_id"])
+        more = _counted(more, "blocks")
+        found.append(written(_alike(_pairs(more, similarity), texts, similarity), "like"))
+        while not last.isEmpty():
+            k *= LEADERS
+            like, last = _led(last, rows, texts, k, similarity)
+            found.append(like)
+        rows = more.where(F.col("m") > SMALL).drop("m")
+    return reduce(DataFrame.union, found)
+
+
+def dropped(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
+    """(doc, text_key, flags): for every document that loses a line, a byte for each line up to the last that goes, 1 if it goes."""
+    table = lines(docs, similarity)
+    known = table.where("line_id is not null").groupBy("line_id").agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("blocks").alias("blocks"))
+    known = written(known, "distinct")
+    group = written(components(links(table, known, similarity)), "groups")
+    grouped = group.join(known.select("line_id", "place"), group["node"] == F.col("line_id")).select("component", "line_id", "place")
     kept = written(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
-    alone = first.where("n > 1").join(group, first["line_id"] == group["node"], "left_anti").select("line_id", F.col("place").alias("kept"))
+    alone = known.where("c > 1").join(group, F.col("line_id") == group["node"], "left_anti").select("line_id", F.col("place").alias("kept"))
     rule = written(grouped.join(kept, "component").select("line_id", "kept").union(alone), "rules")
-    flagged = all_lines.join(rule, "line_id", "left").select("doc_id", "text_id", "line_no", "line_id", (F.col("kept").isNotNull() & (F.col("kept") != _place("doc_id", "line_no"))).alias("goes"))
-    per_doc = flagged.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "goes", F.col("line_id").isNotNull().alias("own")))).alias("f"), F.max(F.col("goes").cast("int")).alias("any")).where("any > 0")
-    left = F.size(F.filter("f", lambda x: x["own"] & ~x["goes"]))
-    return per_doc.select("doc_id", "text_id", F.col("f.goes").alias("flags"), left.alias("n_left"))
+    gone = table.select("line_id", "place").join(rule, "line_id").where("place <> kept").select("place")
+    base = F.lit(1 << 62).cast("decimal(19,0)")
+    within = F.pmod("place", base)
+    gone = gone.select(((F.col("place") - within) / base).cast("long").alias("doc"), within.cast("long").alias("within"))
+    gone = gone.select("doc", F.shiftright("within", 31).alias("text_key"), F.col("within").bitwiseAND(F.lit(_BASE - 1)).cast("int").alias("line_no"))
+    gone = gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("goes"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("goes", F.lit(1), F.size("goes") - 1))
+    flags = F.zip_with("goes", before, lambda g, b: F.concat(F.repeat(F.lit("0"), g - b - 1), F.lit("1")))
+    out = written(gone.select("doc", "text_key", F.array_join(flags, "").cast("binary").alias("flags")), "gone")
+    forget(table, known, group, kept, rule)
+    return out
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.9, distance: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     """docs with repeated lines taken out of `text`; documents of which nothing but blank lines is left go."""
-    gone = dropped(docs, similarity, distance).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("flags").alias("_flags"), F.col("n_left").alias("_left"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_text", F.xxhash64("text"))
-    both = keyed.join(gone, ["_doc", "_text"], "left").where("_flags is null or _left > 0")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.element_at("_flags", i + 1)), "\n")
-    return both.withColumn("text", F.when(F.col("_flags").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    if not 0.5 < similarity <= 1:
+        raise ValueError("similarity must be over 0.5 and at most 1")
+    doc, key, flags, left = (free_name(docs, x) for x in ("doc", "text_key", "flags", "left"))
+    gone = dropped(docs.select("doc_id", "text"), similarity).select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("flags").alias(flags))
+    both = docs.withColumns({doc: _doc("doc_id"), key: _text_key("text")}).join(gone, [doc, key], "left")
+    keeps = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col(flags), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    both = both.withColumn(left, F.when(F.col(flags).isNull(), F.col("text")).otherwise(keeps))
+    words = F.col(left).rlike(r"[^\x09-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
+    both = both.where(F.col(flags).isNull() | words)
+    return both.select(*(F.col(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ from strandloom.llm import line_dedup as L
 
 
 def _norm(line):
-    return " ".join(re.sub(r"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", "", line.lower()).split())
+    return " ".join(x for x in re.split(r"[\x09\x0b-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", line.lower()) if x)
 
 
 def _lev(a, b):
@@ -56,7 +56,7 @@ def test_fuzzy_against_all_pairs(spark):
     gone = set(range(len(lines))) - kept
     assert all(component[x] != x for x in gone)
     multiple = [i for i in range(len(lines)) if component[i] != i]
-    assert len(gone) >= 0.3 * len(multiple)
+    assert len(gone) >= 0.9 * len(multiple)
 
 
 def test_large_bucket(spark, monkeypatch):
@@ -67,24 +67,6 @@ def test_large_bucket(spark, monkeypatch):
     assert _groups(spark, lines) == {0}
 
 
-def test_long_line_counts(spark, monkeypatch):
-    """A line of more words than a lane holds gets the SimHash of all of them."""
-    text = " ".join(f"v{i}" for i in range(300))
-    whole = L.lines(H.docs(spark, [text])).first().simhash
-    monkeypatch.setattr(L, "PIECE", 50)
-    assert L.lines(H.docs(spark, [text])).first().simhash == whole
-
-
-def test_simhash_is_majority(spark):
-    from pyspark.sql import functions as F
-
-    texts = ["a b c", "one two three four five", "x"]
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for t in texts for w in t.split()], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    for r in L.lines(H.docs(spark, texts)).collect():
-        own = [hashes[w] & (2**64 - 1) for w in texts[r.doc_id].split()]
-        assert r.simhash & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
-
-
 def test_no_python_in_the_plan(spark, sf_dir):
     df = L.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
@@ -113,22 +95,46 @@ def _all_pairs(lines):
     return {i for i in range(len(lines)) if first[i] == i}
 
 
-def test_recall_is_whole(spark):
-    """All lines with an edit similarity of 0.9 or more are found, whatever their SimHashes."""
+def _recall(spark, lines):
+    """The share of the lines that should go, by comparing all pairs, that do; none that should stay may go."""
+    want, kept = _all_pairs(lines), _groups(spark, lines)
+    assert want <= kept
+    return (len(lines) - len(kept)) / (len(lines) - len(want))
+
+
+def test_recall(spark):
+    """Of families whose lines are as far apart as a link may be, at least 0.95 are found, short lines included."""
     rng = random.Random(8)
     lines = []
-    for _ in range(40):
-        base = H.sentence(rng, rng.choice([10, 20, 30, 60]), 300)
-        lines += [base] + H.near_copies(rng, base, 3, (1, 3))
-        w = base.split()
-        lines.append(" ".join(w[1:] + ["moved"]) if len(w) > 19 else " ".join([*w, "added"]))
-    want = _all_pairs(lines)
-    assert len(lines) - len(want) > 60
-    assert _groups(spark, lines) == want
+    for k in range(160):
+        n = (10, 13, 17, 20, 25, 29, 30, 40, 60, 110)[k % 10]
+        base = H.sentence(rng, n, 300).split()
+        lines.append(" ".join(base))
+        for _ in range(2):
+            w = list(base)
+            for at in rng.sample(range(n), n // 10):
+                w[at] = f"e{rng.randrange(10**6)}"
+            if n % 2:
+                w.insert(rng.randrange(n), "more") if n // 10 == 1 and w == base else w.pop(rng.randrange(n)) if w == base else None
+            lines.append(" ".join(w))
+    assert len(lines) - len(_all_pairs(lines)) > 250
+    assert _recall(spark, lines) >= 0.95
+
+
+def test_one_edit_is_never_lost(spark):
+    """Lines of fewer than twenty words, with a word changed, put in or taken out at every place."""
+    lines = []
+    for n in (9, 10, 11, 15, 19):
+        for at in range(n):
+            base = [f"k{n}a{at}w{i}" for i in range(n)]
+            lines.append(" ".join(base))
+            lines.append(" ".join(base[:at] + ["x"] + base[at + 1 :]))
+            lines.append(" ".join(base[:at] + ["x"] + base[at:]))
+    assert _groups(spark, lines) == _all_pairs(lines)
 
 
-def test_chain_in_large_bucket(spark, monkeypatch):
-    """A is like B and B is like C, but not A like C: all go to A, though B leaves with A."""
+def test_chain_in_large_block(spark, monkeypatch):
+    """A is like B and B is like C, but not A like C: all go to A, also by way of leaders."""
     monkeypatch.setattr(L, "SMALL", 1)
     rng = random.Random(5)
     lines = []
@@ -137,7 +143,40 @@ def test_chain_in_large_bucket(spark, monkeypatch):
         lines += [" ".join([f"n{c}x{i}" for i in range(2 * step)] + base[2 * step :]) for step in range(4)]
     want = _all_pairs(lines)
     assert len(want) == 12
-    assert _groups(spark, lines) == want
+    assert _recall(spark, lines) >= 0.9
+
+
+def test_common_passage_in_unlike_lines(spark, monkeypatch):
+    """Lines that share a passage and nothing else stay, and repeats among them are found through blocks of several runs."""
+    monkeypatch.setattr(L, "SMALL", 4)
+    rng = random.Random(6)
+    passage = H.sentence(rng, 15)
+    lines = [f"{H.sentence(rng, 12)} {passage} {H.sentence(rng, 12)}" for _ in range(60)]
+    lines += [H.near_copies(rng, x, 1, (1, 2))[0] for x in lines[:30]]
+    assert _groups(spark, lines) >= set(range(60))
+    assert _recall(spark, lines) >= 0.9
+
+
+def test_unique_lines_stay(spark):
+    """A line that is like none stays, whatever other rows have its document's id or none."""
+    rng = random.Random(9)
+    one, two = H.sentence(rng, 20), H.sentence(rng, 20)
+    near = " ".join([*one.split()[:-1], "changed"])
+    back = " ".join(reversed(two.split()))
+    rows = [(3, back), (5, two), (5, one), (7, near), (None, two), (None, "alone in the world, without an id"), (None, one), (8, f"{one}\r\n\ttab and end"), (9, "x"), (9, "y")]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted([(3, back), (5, two), (5, one), (-1, "alone in the world, without an id"), (8, "\ttab and end"), (9, "x"), (9, "y")])
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = H.docs(spark, ["shared line\nown", "other\nshared line"])
+    for c in ("doc", "text_key", "flags", "left", "goes", "_doc", "_flags", "keep", "p_low", "_bad", "Doc", "a.b"):
+        docs = docs if c.lower() in (x.lower() for x in docs.columns) else docs.withColumn(c, F.lit(f"own {c}"))
+    got = L.dedup_lines(docs)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text, r.doc, r["a.b"], r.left) for r in got.collect()} == {(0, "shared line\nown", "own doc", "own a.b", "own left"), (1, "other", "own doc", "own a.b", "own left")}
 
 
 def test_lines_of_few_distinct_words(spark):
