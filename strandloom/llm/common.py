@@ -34,10 +34,10 @@ def bounded(spark: SparkSession) -> None:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", dictionary: bool = True) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and fixes what was not deterministic.
 
-    The shuffle files behind the table are of no more use and go at once.
+    The shuffle files behind the table are of no more use and go at once. Without dictionary, for columns whose values seldom repeat.
     """
     spark = df.sparkSession
     bounded(spark)
@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -70,11 +70,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 #: Bytes of a bit table, as a power of two; seven bits of a byte are used, so that it is an ASCII character.
-TABLE = 20
+TABLE = 18
 
 
 def bit_table(hashes: DataFrame) -> bytes:
-    """A table of fixed size (1 MB) that tells for a 64-bit hash whether it may be among those in column h."""
+    """A table of fixed size (256 KB) that tells for a 64-bit hash whether it may be among those in column h."""
     at = F.shiftrightunsigned("h", 64 - TABLE)
     bit = at.bitwiseAND(F.lit(7)) * 8 + F.pmod("h", F.lit(7))
     rows_ = hashes.select(F.shiftright(at, 3).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()

@@ -37,13 +37,15 @@ SMALL, LEADERS, RUN, ANCHORS, PLACES = 64, 4, 4, 5, 24
 #: Edits up to which distances are tried first, as a band's cost grows with it.
 FEW = 4
 LAST = (1 << 63) - 1
-#: ASCII marks and white space but the line end.
-_BETWEEN = r"[\x09\x0b-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 
 
-def _words(line: Column) -> Column:
-    """The words of a line in lower case."""
-    return F.array_remove(F.split(line, _BETWEEN), "")
+def _plain(text: Column) -> Column:
+    """A text in lower case, with a space for ASCII marks and for white space but the line end."""
+    return F.regexp_replace(F.lower(text), r"[\x09\x0b-\x0d\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", " ")
+
+
+def _words(plain: Column) -> Column:
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _doc(doc_id: str) -> Column:
@@ -67,9 +69,10 @@ def _place(doc: str, key: str, line: str) -> Column:
 def _runs(words: str, n: str, run: int) -> Column:
     """Keys of the runs of `run` words that begin at the words of the least hashes; a place is kept in the low bits of a hash."""
     low = (1 << PLACES) - 1
-    hashed = F.transform(F.slice(F.col(words), F.lit(1), F.greatest(F.col(n) - (run - 1), F.lit(0))), lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
+    hashed = F.transform(F.col(words), lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
     least = F.slice(F.sort_array(hashed), F.lit(1), F.lit(ANCHORS))
-    word = lambda a, j: F.get(F.col(words), a.bitwiseAND(F.lit(low)).cast("int") + j)
+    # a run that would go beyond the end is the line's last one
+    word = lambda a, j: F.get(F.col(words), F.least(a.bitwiseAND(F.lit(low)), F.col(n) - run).cast("int") + j)
     return F.array_distinct(F.transform(least, lambda a: F.xxhash64(*(word(a, j) for j in range(run)))))
 
 
@@ -90,11 +93,11 @@ def _blocks(words: str, n: str, similarity: float) -> Column:
 
 
 def lines(docs: DataFrame, similarity: float) -> DataFrame:
-    """(place, line_id, n, blocks, line) of every line: n counts words, line is in lower case; line_id is null where a line has no words."""
-    d = docs.where(F.col("text").isNotNull()).select(_doc("doc_id").alias("doc"), _text_key("text").alias("text_key"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    """(place, line_id, n, blocks, line) of every line: n counts words, line is the plain line; line_id is null where a line has no words."""
+    d = docs.where(F.col("text").isNotNull()).select(_doc("doc_id").alias("doc"), _text_key("text").alias("text_key"), F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
     d = d.select(_place("doc", "text_key", "line_no").alias("place"), "line", _words(F.col("line")).alias("words"))
     d = d.select("place", "line", "words", F.size("words").alias("n"))
-    return written(d.select("place", F.when(F.col("n") > 0, F.xxhash64("words")).alias("line_id"), "n", _blocks("words", "n", similarity).alias("blocks"), "line"), "lines")
+    return written(d.select("place", F.when(F.col("n") > 0, F.xxhash64("words")).alias("line_id"), "n", _blocks("words", "n", similarity).alias("blocks"), "line"), "lines", dictionary=False)
 
 
 def _coded(words: Column) -> Column:
