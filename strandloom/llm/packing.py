@@ -1,14 +1,15 @@
 """Best-fit packing of documents into bins of a fixed number of tokens, under conflicts.
 
 No bin holds two documents of one source or of one duplicate cluster (equal word sequences, unless the input names
-clusters). A document longer than a bin is cut into full pieces, each a bin of its own, and a rest. Documents are dealt by
+clusters, as with near copies found before). A document longer than a bin is cut into full pieces, each a bin of its own, and a rest. Documents are dealt by
 a hash into shards of about SHARD pieces, whose number grows with the input; inside a shard, pieces go from the largest to
 the smallest. Bins are held by residual, in order; each residual has a bitmap of its bins, each source and each cluster a
 bitmap of the bins that hold it. The search begins at the least residual that fits and goes on to the next until a bin is
 left when those of the piece's source and cluster are taken out: the tightest compatible bin. It has no limit of steps; a
 new bin is opened only if none is compatible.
 
-A hot source is spread over all shards. Only narrow rows (no texts) are shuffled. The result depends on the rows alone.
+A hot source is spread over all shards. Only narrow rows (no texts) are shuffled, equal rows as one with their number. The
+result depends on the rows alone, not on how they are dealt into partitions.
 
 Nulls: a null text is empty; a null source, like any other, is one source; null ids are packed as any. A document without
 words gets one row whose bin and offset are null. Repeated rows are documents of their own and, being of one cluster, never
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, utf8
+from .common import bounded, slices, utf8, written
 from .words import lowered, mixed, word_hashes, word_spans
 
 CAPACITY, SHARD, AT_ONCE = 2048, 4096, 4 << 20
@@ -48,14 +49,19 @@ def _sized(batches):
             starts, ends, first = word_spans(low, own)
             size.append(np.diff(first))
             cluster.append(sequence_hashes(word_hashes(low, starts, ends), first).view(np.int64))
-        ids = b.column("doc_id").to_pandas()
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(np.concatenate(size)), pa.array(np.concatenate(cluster)), pa.array(ids.groupby(ids, dropna=False).cumcount().to_numpy(), pa.int64())], names=["doc_id", "source", "n_tokens", "cluster", "copy"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(np.concatenate(size)), b.column("cluster") if "cluster" in b.schema.names else pa.array(np.concatenate(cluster))], names=["doc_id", "source", "n_tokens", "cluster"])
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens (words), cluster and copy (which of the rows with this id in its batch) of each document."""
+def sized(docs: DataFrame, cluster: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens (words), cluster and copies of each document: how many rows are equal in all of these.
+
+    cluster names a column of numbers to take clusters from, such as group_id of the n-gram Jaccard join; its nulls are a cluster.
+    """
     bounded(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sized, "doc_id long, source string, n_tokens long, cluster long, copy long")
+    named = [F.col(cluster).cast("long").alias("cluster")] if cluster else []
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", *named)
+    keys = ["doc_id", "source", "n_tokens", "cluster"]
+    return rows_.mapInArrow(_sized, "doc_id long, source string, n_tokens long, cluster long").groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> tuple[list[int], list[int]]:
@@ -96,12 +102,15 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, piece, n_tokens, bin_id and bin_offset for rows (doc_id, source, n_tokens, cluster, copy)."""
+    """doc_id, piece, n_tokens, bin_id and bin_offset for distinct rows (doc_id, source, n_tokens, cluster, copies)."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    cut = pieces.select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_tokens") - 1, F.lit(0)), F.lit(capacity).cast("long"))).alias("piece", "start"))
+    pieces = written(pieces, "sized")
+    each = pieces.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    cut = each.select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_tokens") - 1, F.lit(0)), F.lit(capacity).cast("long"))).alias("piece", "start"))
     cut = cut.withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("start"), F.lit(capacity)))
-    n = max(1, -(-pieces.count() // shard))
+    of_row = F.col("copies") * F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1))
+    n = max(1, -(-(pieces.agg(F.sum(of_row)).first()[0] or 0) // shard))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece", "cluster"), F.lit(n)))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
@@ -117,5 +126,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     return dealt.groupBy("shard").applyInPandas(packed, "doc_id long, piece int, n_tokens long, bin_id long, bin_offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    return pack(sized(docs), capacity, shard)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
+    """doc_id, piece, n_tokens, bin_id and bin_offset of each piece of each row of docs; see above for nulls, repeated rows and empty texts.
+
+    Empty tables give empty results; very long texts are cut; of pieces of one size the one of the smaller id, piece and copy goes first; columns other than doc_id, source,
+    text and the one that names clusters are ignored.
+    """
+    return pack(sized(docs, cluster), capacity, shard)

@@ -65,3 +65,19 @@ def test_odd_rows(spark):
     assert P.pack_documents(H.docs(spark, ["a", "b"], extra=True)).count() == 2
     with pytest.raises(ValueError):
         P.pack_documents(H.docs(spark, ["a"]), 0)
+
+
+def test_partitions_change_nothing(spark):
+    """Two hundred equal rows and some others, in one partition and in fifty."""
+    docs = H.docs(spark, [f"w{i} " * (i % 50) for i in range(150)]).union(spark.createDataFrame([(7, "the same words again", "en", "s", 5)] * 200, H.SCHEMA))
+    rows = [sorted(tuple(r) for r in P.pack_documents(docs.repartition(n), 64, 16).fillna(-1).collect()) for n in (1, 50)]
+    assert rows[0] == rows[1]
+    bins = [r[3] for r in rows[0] if r[0] == 7 and r[2] == 4]
+    assert len(bins) == len(set(bins)) == 200
+
+
+def test_named_clusters(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i}", i % 2) for i in range(8)], "doc_id long, text string, source string, cluster long")
+    got = P.pack_documents(docs, 64, 100, cluster="cluster").collect()
+    assert len({r.bin_id for r in got}) == 4
+    assert len({r.bin_id for r in P.pack_documents(docs, 64, 100).collect()}) == 1
