@@ -1,6 +1,6 @@
 """LM scoring: context-tree weighting learned from the corpus, next to a word unigram base.
 
-Learning and lookup go by blocks and buckets. A block is some BLOCK documents, chosen by a hash of id and text; a bucket is
+Learning and lookup go by blocks and buckets. A block is some BLOCK documents, or some BLOCK_BYTES where they are long, chosen by a hash of id and text; a bucket is
 a share of all grams (by their two nearest context bytes) or of all words (by hash). Each block hands every bucket its
 distinct grams or words, with their counts in training documents (0 for those of held-out ones alone). A bucket adds up all
 blocks' counts: these are the sub-trees of its two-byte contexts; what they say about the 256 one-byte nodes and the root is summed into a
@@ -29,7 +29,7 @@ from . import context_tree as ctw
 from .common import bounded, slices, utf8, written
 from .words import lowered, mixed, word_hashes, word_spans
 
-DEPTH, BLOCK, AT_ONCE, PENDING = 5, 4096, 1 << 20, 2 << 20
+DEPTH, BLOCK, BLOCK_BYTES, AT_ONCE, PENDING = 5, 4096, 24 << 20, 1 << 20, 2 << 20
 END = 0xFF
 _PART = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -59,6 +59,12 @@ def _grams(at: np.ndarray, data: np.ndarray, depth: int):
     for lo, hi in slices(at, AT_ONCE):
         n = hi - lo
         low = lowered(data[at[lo] : at[hi]])
+        if len(low) > 2 * AT_ONCE:  # a long text, which is alone: its grams part by part
+            padded = np.concatenate([np.full(depth, END, np.uint8), low, np.full(1, END, np.uint8)])
+            for s in range(0, len(low) + 1, AT_ONCE):
+                g = ctw.grams(padded[s : s + AT_ONCE + depth], depth)
+                yield lo, hi, g, np.zeros(len(g), dtype=np.int32)
+            continue
         own = at[lo : hi + 1] - at[lo]
         size = np.diff(own)
         # every text gets an end byte and the context of the next one's beginning
@@ -173,7 +179,7 @@ def _answered(batches, n: int, depth: int, tables):
             if block is None:
                 now, keys = bucket, k
                 c = np.frombuffer(counts.as_buffer(), dtype=np.int64)
-                values = c.astype(np.uint32) if bucket >= n else ctw.log_probabilities(k, c, tables, depth)
+                values = c if bucket >= n else ctw.log_probabilities(k, c, tables, depth)
                 continue
             assert bucket == now
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([values[np.searchsorted(keys, k)].tobytes()], pa.binary())], names=["block", "bucket", "answer"])
@@ -201,7 +207,7 @@ def _scored(batches, n: int, depth: int, total: int, distinct: int, ends: int):
             order = np.argsort(of, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(of) else np.zeros(0, np.int64)
             for lo, hi in zip(cut, [*cut[1:], len(of)], strict=True):
-                values[order[lo:hi]] = np.frombuffer(got[int(of[order[lo]])].as_buffer(), dtype=np.uint32 if word else np.float64)
+                values[order[lo:hi]] = np.frombuffer(got[int(of[order[lo]])].as_buffer(), dtype=np.int64 if word else np.float64)
             for lo, hi, x, where, each in seen:
                 of = np.repeat(np.arange(hi - lo, dtype=np.int32), each)
                 v = values[np.searchsorted(keys, x)]
@@ -223,7 +229,8 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, block: int = BLOCK) ->
     if not 2 <= depth <= 7:
         raise ValueError("depth must be from 2 to 7")
     bounded(docs.sparkSession)
-    n_blocks = max(1, -(-docs.count() // block))
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_docs // block), -(-n_bytes // BLOCK_BYTES))
     n = max(64, n_blocks)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
