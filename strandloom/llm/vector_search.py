@@ -9,7 +9,8 @@ Queries and candidates are dealt into blocks of a fixed size by a hash of the ro
 so its memory is bounded however many rows there are, and each query's few best per block are ranked at the end.
 
 Vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part. Vectors of
-unlike lengths are not compared. Repeated candidate rows count each; repeated query rows count once. Components must be
+unlike lengths are not compared. Repeated candidate rows count each; repeated query rows count once, and query rows of one id with unlike vectors are queries of their
+own. Empty tables give empty results. Components must be
 small enough for products to fit 63 bits.
 """
 
@@ -32,8 +33,8 @@ def _segments(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return mean, np.sqrt(np.add.reduceat(rest * rest, cuts[:-1], axis=1)), size
 
 
-def _best(q_ids, q, c_ids, c, k: int):
-    """Rows (query, candidate, score) of the k best candidates of each query, by score and then smaller id."""
+def _best(q_ids, keys, q, c_ids, c, k: int):
+    """Rows (query, its key, candidate, score) of the k best candidates of each query, by score and then smaller id."""
     small = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**53
     exact = (lambda a, b: np.rint(b @ a).astype(np.int64)) if small else (lambda a, b: b.astype(np.int64) @ a.astype(np.int64))
     stats = []
@@ -57,7 +58,7 @@ def _best(q_ids, q, c_ids, c, k: int):
                 left = left[b[left] @ a[i] >= least - slack[i]]
             score = exact(q[i], c[left])
             top = np.lexsort((c_ids[left], -score))[:k]
-            yield from zip([q_ids[i]] * len(top), c_ids[left[top]], score[top], strict=True)
+            yield from zip([q_ids[i]] * len(top), [keys[i]] * len(top), c_ids[left[top]], score[top], strict=True)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -73,14 +74,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     n_c, n_q = max(1, -(-cands.count() // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
     block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
     left = cands.withColumn("cb", block(n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    right = asked.withColumn("qb", block(n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
+    right = asked.withColumn("key", F.xxhash64("v")).withColumn("qb", block(n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
 
     def cell(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(c) and len(q):
-            found = list(_best(q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()), k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            found = list(_best(q["vec_id"].to_numpy(), q["key"].to_numpy(), np.stack(q["v"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()), k))
+        return pd.DataFrame(found, columns=["query_id", "key", "vec_id", "score"]).astype("int64")
 
-    cells = left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cells = left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInPandas(cell, "query_id long, key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

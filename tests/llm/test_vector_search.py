@@ -37,3 +37,11 @@ def test_few_rows(spark):
 def test_against_sql(spark, sf_dir):
     got, want = compare_with_sql(spark, sf_dir, queries.op5_vector_search, queries.oracle_sql()["op5_vector_search"])
     assert got == want
+
+
+def test_queries_of_one_id(spark):
+    """Two query rows of one id with unlike vectors are two queries."""
+    vectors = spark.createDataFrame([(i, [float(i), float(-i)]) for i in range(6)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(9, [1.0, 0.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in V.top_k(vectors, queries, 2).collect())
+    assert got == [(1, 0), (1, 5), (2, 1), (2, 4)]
