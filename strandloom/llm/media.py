@@ -9,7 +9,8 @@ bins and their distance, kept together with the frame at which it starts.
 Frames are transformed in blocks, so a long payload needs no more working memory than a block. Both passes are narrow:
 no shuffle, one row in, one row out, so any skew between keys has no effect.
 
-Nulls: a null text is empty and gives one block of 64 zero bytes; a null doc_id stays null. Equal texts give equal values.
+Nulls: a null text is empty and gives one block of 64 zero bytes; a null doc_id stays null. Equal texts give equal values, repeated rows
+a row each; of equal peaks of a frame the lowest bin counts. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,12 +70,11 @@ def peaks(samples: np.ndarray) -> np.ndarray:
 def fingerprint(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Times and pair numbers, ordered by time and distance."""
     n = len(found)
-    pairs = [(np.arange(n - d), found[: n - d] << 14 | found[d:] << 4 | d) for d in range(1, AHEAD + 1) if n > d]
-    if not pairs:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    time, code = np.concatenate([t for t, _ in pairs]), np.concatenate([c for _, c in pairs])
-    order = np.lexsort((code & 15, time))
-    return time[order].astype(np.int32), code[order].astype(np.int32)
+    code = np.full((n, AHEAD), -1, dtype=np.int32)
+    for d in range(1, min(AHEAD, n - 1) + 1):
+        code[: n - d, d - 1] = found[: n - d] << 14 | found[d:] << 4 | d
+    there = code >= 0
+    return np.repeat(np.arange(n, dtype=np.int32), there.sum(1)), code[there]
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,10 @@ def fingerprints(media: DataFrame, keep_media: bool = False) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The digest columns: the stored media table is written, read back and fingerprinted; `feature` names frames, pairs and a hash of the time-coded arrays."""
+    """The digest columns: the stored media table is written, read back and fingerprinted; `feature` names frames, pairs and a hash of the time-coded arrays.
+
+    The arrays themselves, beside each row's media if asked for, are what `fingerprints` returns.
+    """
     f = fingerprints(written(media_columns(docs), "media"))
-    coded = F.md5(F.concat_ws(",", F.concat(F.col("times"), F.col("pairs")).cast("array<string>")))
+    coded = F.lower(F.hex(F.xxhash64("times", "pairs")))
     return f.withColumn("feature", F.concat_ws(":", F.lit("stft-pairs"), F.col("n_frames").cast("string"), F.size("pairs").cast("string"), coded)).drop("times", "pairs", "n_frames")
