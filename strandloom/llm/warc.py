@@ -120,13 +120,23 @@ def records(archive: bytes):
         pos += len(END)
 
 
+def _body(block: memoryview, fields: dict) -> int:
+    """Where the payload of a record's block begins: behind the HTTP head, if it has one."""
+    if not fields.get("Content-Type", "").startswith("application/http"):
+        return 0
+    for size in (1 << 12, len(block)):
+        if (at := bytes(block[:size]).find(END)) >= 0:
+            return at + len(END)
+    return len(block)
+
+
 def _parse(batches):
     for b in batches:
         for content in b.column("content"):
             out, held = [], 0
             for f, block in records(content.as_py()):
                 no, kind = int(f.get("WARC-Segment-Number", 1)) - 1, f["WARC-Type"]
-                body = block if no else block[len(HTTP) :]
+                body = block if no else block[_body(block, f) :]
                 whole = kind == "revisit" or "WARC-Segment-Number" not in f
                 to = re.match(r"<urn:strandloom:page:(-?\d+):", f.get("WARC-Refers-To", ""))
                 page, stated = f.get("X-Page-ID"), f["WARC-Payload-Digest"].partition(":")[2]
