@@ -11,7 +11,8 @@ Sums go through partial aggregation, so a host with a third of the rows is a row
 the scored documents as a plain table: Spark broadcasts it only below its size threshold and splits a hot site otherwise.
 
 Nulls: a null text is empty and is scored so; null source or language are sites of their own; null labels and ids take no
-part in fitting. Without labels the models say nothing (probability 0.5 for both kinds, and every row is kept). Repeated
+part in fitting. Empty tables give empty results; texts of any length are scored whole. Of more labelled rows than the sample holds, those of the least
+hashes of their ids are taken; rows with one id have one hash, and which of them come last in the sample is not defined. Without labels the models say nothing (probability 0.5 for both kinds, and every row is kept). Repeated
 rows are scored alike. Extra columns pass through.
 """
 
@@ -116,11 +117,11 @@ def log_odds(data: np.ndarray, at: np.ndarray, models) -> np.ndarray:
     return np.stack([np.bincount(doc, weights=w[word], minlength=len(at) - 1) + shape @ w[1 << BITS :] for w in models], axis=1)
 
 
-def _scored(batches, models: np.ndarray):
+def _scored(batches, models: np.ndarray, names: list[str]):
     for b in batches:
         at, data = utf8(b.column("text"))
         got = np.concatenate([log_odds(data, at[lo : hi + 1], models) for lo, hi in slices(at, AT_ONCE)] or [np.zeros((0, 2))]).clip(-30, 30)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got[:, 0]), pa.array(got[:, 1])], names=[*b.schema.names, "_bad", "_toxic"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got[:, 0]), pa.array(got[:, 1])], names=[*b.schema.names, *names])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -149,7 +150,7 @@ def _strength(sites: DataFrame, bad: str, parent: Column) -> Column:
 
 
 def site_rates(scored: DataFrame) -> DataFrame:
-    """(source, lang, shift_bad, shift_toxic): what each path adds to a document's log odds."""
+    """(source, lang, shift_bad, shift_toxic): what each path adds to a document's log odds. scored: source, lang and the log odds _bad and _toxic."""
     logit = lambda p: F.log(p / (1 - p))
     held = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     paths = written(scored.groupBy("source", "lang").agg(F.count("*").cast("double").alias("n"), F.sum(_rate("_bad")).alias("bad"), F.sum(_rate("_toxic")).alias("toxic")), "paths")
@@ -165,17 +166,22 @@ def site_rates(scored: DataFrame) -> DataFrame:
     return both.select("source", "lang", *((logit(rate(c)) - logit(F.col(f"g_{c}"))).alias(f"shift_{c}") for c in ("bad", "toxic")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str], threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """columns of docs, with p_low (low quality), p_toxic and keep (neither is above the threshold)."""
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str], threshold: float = 0.5, sample: int = SAMPLE, names: tuple[str, str, str] = ("p_low", "p_toxic", "keep")) -> DataFrame:
+    """columns of docs, with, under the given names, the probabilities of low quality and of toxic text, and keep (neither is above the threshold).
+
+    Columns of docs may have any names but these three.
+    """
+    if clash := {c.lower() for c in columns} & {x.lower() for x in names}:
+        raise ValueError(f"columns {sorted(clash)} are there already; give other names")
     bounded(docs.sparkSession)
-    models = train(docs, labels, sample)
-    need = list(dict.fromkeys([*columns, "source", "lang", "text"]))
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in need) + ", _bad double, _toxic double"
-    scored = docs.select(*need).mapInArrow(partial(_scored, models=models), schema)
-    scored = written(scored.select(*dict.fromkeys([*columns, "source", "lang", "_bad", "_toxic"])), "scored")
-    sites = written(site_rates(scored), "sites").withColumnsRenamed({"source": "_source", "lang": "_lang"})
-    out = scored.join(sites, scored["source"].eqNullSafe(sites["_source"]) & scored["lang"].eqNullSafe(sites["_lang"]), "left")
+    models = train(docs.select("doc_id", "text"), labels, sample)
+    own = [f"c{i}" for i in range(len(columns))]  # the columns under names that can't clash
+    need = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)), F.col("source").alias("site_source"), F.col("lang").alias("site_lang"), F.col("text").alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in need.schema) + ", _bad double, _toxic double"
+    scored = need.mapInArrow(partial(_scored, models=models, names=["_bad", "_toxic"]), schema).drop("text")
+    scored = written(scored, "scored")
+    sites = written(site_rates(scored.select(F.col("site_source").alias("source"), F.col("site_lang").alias("lang"), "_bad", "_toxic")), "sites")
+    out = scored.join(sites, scored["site_source"].eqNullSafe(sites["source"]) & scored["site_lang"].eqNullSafe(sites["lang"]), "left")
     prob = lambda c: 1 / (1 + F.exp(-(F.col(f"_{c}") + F.coalesce(f"shift_{c}", F.lit(0.0)))))
-    out = out.select(*columns, prob("bad").alias("p_low"), prob("toxic").alias("p_toxic"))
-    return out.withColumn("keep", (F.col("p_low") <= threshold) & (F.col("p_toxic") <= threshold))
+    low, toxic, keep = names
+    return out.select(*(F.col(o).alias(c) for c, o in zip(columns, own, strict=True)), prob("bad").alias(low), prob("toxic").alias(toxic), ((prob("bad") <= threshold) & (prob("toxic") <= threshold)).alias(keep))
