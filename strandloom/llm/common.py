@@ -69,23 +69,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bytes of a bit table, as a power of two; seven bits of a byte are used, so that it is an ASCII character.
-TABLE = 18
+#: Rows of a bit table, as a power of two; a row has 64 bits.
+TABLE = 17
 
 
-def bit_table(hashes: DataFrame) -> bytes:
-    """A table of fixed size (256 KB) that tells for a 64-bit hash whether it may be among those in column h."""
-    at = F.shiftrightunsigned("h", 64 - TABLE)
-    bit = at.bitwiseAND(F.lit(7)) * 8 + F.pmod("h", F.lit(7))
-    rows_ = hashes.select(F.shiftright(at, 3).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(1 << TABLE - 3, dtype="<i8")
-    out[[r.word for r in rows_]] = [r.bits for r in rows_]
-    return out.tobytes()
+def _word(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - TABLE).cast("int")
 
 
-def has_bit(h: Column, table: bytes) -> Column:
-    byte = F.ascii(F.substring(F.lit(table), F.shiftrightunsigned(h, 64 - TABLE).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.call_function("shiftright", byte, F.pmod(h, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def perhaps_in(df: DataFrame, h: Column, hashes: DataFrame) -> DataFrame:
+    """The rows of df whose 64-bit hash h is among those in column h of hashes, and a few others: a join with a bit table of at most 2^17 rows (2 MB)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    table = hashes.select(_word(F.col("h")).alias("bits_word"), bit.alias("bit")).groupBy("bits_word").agg(F.bit_or("bit").alias("bits"))
+    asked = df.withColumn("bits_word", _word(h)).withColumn("bits_at", h.bitwiseAND(F.lit(63)).cast("int"))
+    found = asked.join(F.broadcast(table), "bits_word").where(F.call_function("shiftright", F.col("bits"), F.col("bits_at")).bitwiseAND(F.lit(1)) == 1)
+    return found.select(*df.columns)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, forget, free_name, has_bit, written
+from .common import forget, free_name, perhaps_in, written
 from .components import components
 
 #: Lines of a small block, leaders of a large one, words of a run, runs of a line, bits of a place within a line.
@@ -126,48 +126,48 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.when(few, True).otherwise(F.expr("levenshtein(a_coded, b_coded, most) >= 0"))).select("a", "b")
 
 
-def _counted(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (key, line_id, ...) of blocks that several lines share, with their number m."""
-    several = written(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "counts")
-    bits = bit_table(several.select(F.col("key").alias("h")))
-    return written(rows.where(has_bit(F.col("key"), bits)).join(several, "key"), name)
+def _several(rows: DataFrame) -> DataFrame:
+    """(key, m) of blocks that several lines share, with their number."""
+    return rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """All pairs of lines of fitting lengths in small blocks."""
     small = rows.where(F.col("m") <= SMALL)
-    return written(_side(small, "a").join(_side(small, "b"), "key").where((F.col("a") < F.col("b")) & _fit(similarity)).select("a", "b").distinct(), "pairs")
+    return _side(small, "a").join(_side(small, "b"), "key").where((F.col("a") < F.col("b")) & _fit(similarity)).select("a", "b").distinct()
 
 
 def links(table: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between ids of like lines. known: (line_id, place, n, blocks) of each distinct line's first occurrence in the table of lines."""
-    shared = _counted(known.select(F.explode("blocks").alias("key"), "line_id", "n"), "blocks")
-    pairs, large = _pairs(shared, similarity), shared.where(F.col("m") > SMALL)
+    keyed = known.select(F.explode("blocks").alias("key"), "line_id", "n")
+    several = written(_several(keyed), "counts")
+    shared = written(perhaps_in(keyed, F.col("key"), several.select(F.col("key").alias("h"))).join(several, "key"), "blocks")
+    pairs, large = written(_pairs(shared, similarity), "pairs"), shared.where(F.col("m") > SMALL)
     needed = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")).distinct()
     needed = written(known.select("line_id", "place", "n").join(needed, "line_id"), "needed")
-    bits = bit_table(needed.select(F.xxhash64("line_id", "place").alias("h")))
-    texts = table.select("line_id", "place", "line").where(has_bit(F.xxhash64("line_id", "place"), bits)).join(needed, ["line_id", "place"])
+    at = lambda: F.xxhash64("line_id", "place")
+    texts = perhaps_in(table.select("line_id", "place", "line"), at(), needed.select(at().alias("h"))).join(needed, ["line_id", "place"])
     # rows of one id and one text are one document, whose lines are here more than once
     texts = written(texts.select("line_id", "n", _coded(_words(F.col("line"))).alias("coded")).dropDuplicates(["line_id"]), "coded")
     found = written(_alike(pairs, texts, similarity), "like")
-    forget(pairs, needed)
+    forget(pairs, needed, several)
     return found if large.isEmpty() else found.union(_large(large.select("key", "line_id", "n"), texts, similarity))
 
 
 def _led(open_: DataFrame, whole: DataFrame, texts: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links of k leaders of each block's open lines with all its lines, and what stays open."""
     lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(F.struct("line_id", "n")).alias("o"))
-    lead = written(lead.select("key", F.col("o.line_id").alias("a"), F.col("o.n").alias("a_n")), "leaders")
-    met = written(lead.join(_side(whole, "b"), "key").where((F.col("a") != F.col("b")) & _fit(similarity)).select("key", "a", "b"), "met")
-    like = written(_alike(met.select("a", "b").distinct(), texts, similarity), "like")
-    done = met.join(like, ["a", "b"]).select("key", F.col("b").alias("line_id")).union(lead.select("key", F.col("a").alias("line_id"))).distinct()
+    lead = lead.select("key", F.col("o.line_id").alias("a"), F.col("o.n").alias("a_n"))
+    met = written(lead.join(_side(whole, "b"), "key").where(_fit(similarity)).select("key", "a", "b"), "met")  # leaders meet themselves, too
+    like = written(_alike(met.where("a <> b").select("a", "b").distinct(), texts, similarity), "like")
+    done = met.where("a = b").union(met.join(like, ["a", "b"]).select("key", "a", "b")).select("key", F.col("b").alias("line_id")).distinct()
     return like, written(open_.join(done, ["key", "line_id"], "left_anti"), "open")
 
 
 def _large(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links in large blocks: (key, line_id, n) of their lines."""
     own = texts.select("line_id", "n", F.split("coded", "").alias("words")).select("line_id", _runs("words", "n", RUN - 1).alias("runs"))
-    rows = written(rows.join(own, "line_id").withColumn("used", F.array().cast("array<bigint>")), "large")
+    rows = written(rows.join(own, "line_id").withColumn("of", F.col("key")).withColumn("used", F.array().cast("array<bigint>")), "large")
     found = []
     while not rows.isEmpty():
         like, open_ = _led(rows, rows, texts, LEADERS, similarity)
@@ -175,9 +175,8 @@ def _large(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         # what is open goes to blocks of one more run; a set of runs is one block
         last, k = open_.where(F.size("used") == F.size("runs")), LEADERS
         more = open_.withColumn("next", F.explode(F.array_except("runs", "used"))).withColumn("used", F.array_sort(F.array_append("used", F.col("next"))))
-        first = F.when(F.size("used") > 1, F.col("of")).otherwise(F.col("key")) if "of" in rows.columns else F.col("key")
-        more = more.withColumn("of", first).withColumn("key", F.xxhash64("of", "used")).drop("next").dropDuplicates(["key", "line_id"])
-        more = _counted(more, "blocks")
+        more = more.withColumn("key", F.xxhash64("of", "used")).drop("next").dropDuplicates(["key", "line_id"])
+        more = written(more.join(_several(more), "key"), "blocks")
         found.append(written(_alike(_pairs(more, similarity), texts, similarity), "like"))
         while not last.isEmpty():
             k *= LEADERS
