@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kmer as K
-from . import ordinals, pack, reads
+from . import ordinals, pack, packed, reads
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,20 @@ class Graph:
 
     @classmethod
     def of_kmers(cls, kmers: DataFrame, k: int, revcomps: bool = True, all_dummies: bool = True) -> Graph:
-        return cls(ordinals.index(pack.pack(kmers, k, revcomps, all_dummies), k), k)
+        """Packs and indexes once: both tables are written to the shared folder, so that every question reads the index as it is."""
+        return cls(cut(ordinals.index(cut(pack.pack(kmers, k, revcomps, all_dummies), "edges"), k), "index"), k)
+
+    @classmethod
+    def of_packed(cls, spark: SparkSession, path: str) -> Graph:
+        """The graph of a packed file, with its labels made out again."""
+        from ..sources.packed_file import footer, read_packed
+
+        rows, k = read_packed(spark, path)
+        return cls(cut(ordinals.index(cut(packed.labelled(rows, footer(path)[0], k), "edges"), k), "index"), k)
+
+    def find(self, label: str) -> DataFrame:
+        """(node_id, node, first, last) of the node with this label, in any case."""
+        return self.nodes().where(F.col("node") == label.lower())
 
     @classmethod
     def load(cls, spark, path: str) -> Graph:
@@ -80,6 +94,10 @@ class Graph:
         into = self.edges.where("end_first = 1 and end_node is not null").select(F.col("end_node").alias("node"), F.col("pos").alias("back"))
         return self.edges.select("pos", "node").join(into, "node", "left").select("pos", F.coalesce("back", F.lit(0)).alias("back"))
 
+    def dump(self) -> DataFrame:
+        """(pos, line): each edge's full label and both flags, as text."""
+        return self.edges.select("pos", F.concat_ws(" ", F.concat("node", "w"), F.col("node_first").cast("string"), F.col("end_first").cast("string")).alias("line"))
+
     def labels(self) -> DataFrame:
         """(pos, node_label, edge_label, lastchar), upper case."""
         return self.edges.select("pos", F.upper("node").alias("node_label"), F.upper(F.concat("node", "w")).alias("edge_label"), F.col("f").alias("lastchar"))

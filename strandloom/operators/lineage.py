@@ -1,17 +1,27 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""Written tables: cutting lineage in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder (spark.checkpoint.dir; a local one only where that is unset) and go on from there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder; a new local folder only where neither is set and Spark runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="strandloom-")
+    if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as Parquet to the shared folder and go on from there: what is read back is computed once, however often it is used."""
+    path = f"{shared_folder(df.sparkSession)}/strandloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,19 +12,33 @@ from pyspark.sql import functions as F
 
 from ..functions import kmer as K
 
-PREFIX = 5
+#: Symbols of a bucket's prefix, and rows beyond which a bucket gets a longer one.
+PREFIX, ROWS = 5, 1 << 22
 
 
-def with_bucket(edges: DataFrame, k: int, prefix: int = PREFIX) -> DataFrame:
-    return edges.withColumn("bucket", F.substring(F.reverse("node"), 1, min(prefix, k - 1)))
+def with_bucket(edges: DataFrame, k: int, prefix: int = PREFIX, rows: int = ROWS) -> DataFrame:
+    """Adds `bucket`, a prefix of the reversed node. Buckets of too many rows are cut by more symbols, so that a task's share is bounded as the data grows."""
+    back, least = F.reverse("node"), min(prefix, k - 1)
+    short = F.substring(back, 1, least)
+    if least == k - 1:
+        return edges.withColumn("bucket", short)
+    counts = edges.groupBy(short.alias("_short")).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)  # at most 5^prefix rows
+    more = F.ceil(F.log(F.col("_n") / rows) / F.log(F.lit(4.0))).cast("int") + 1
+    lengths = counts.select("_short", F.least(F.lit(least) + more, F.lit(k - 1)).alias("_length"))
+    found = edges.withColumn("_short", short).join(F.broadcast(lengths), "_short", "left")
+    return found.withColumn("bucket", F.when(F.col("_length").isNull(), F.col("_short")).otherwise(F.substring(back, F.lit(1), F.col("_length")))).drop("_short", "_length")
+
+
+def _offsets(totals: DataFrame, sums: list[str]) -> DataFrame:
+    """What comes before each bucket: one row for each bucket, some 5^PREFIX and one for every ROWS / 16 edges at most."""
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("bucket", *(F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums), *([F.lag("_last").over(Window.orderBy("bucket")).alias("_prev_last")] if "_last" in totals.columns else []))
 
 
 def running(edges: DataFrame, k: int, sums: dict[str, Column], prefix: int = PREFIX) -> DataFrame:
     """Adds to each row, for each name, the sum of its column over all rows before it and itself, in graph order."""
     b = with_bucket(edges, k, prefix).withColumns({f"_{n}": c.cast("long") for n, c in sums.items()})
-    totals = b.groupBy("bucket").agg(*(F.sum(f"_{n}").alias(f"_total_{n}") for n in sums))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("bucket", *(F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    offsets = _offsets(b.groupBy("bucket").agg(*(F.sum(f"_{n}").alias(f"_total_{n}") for n in sums)), list(sums))
     within = Window.partitionBy("bucket").orderBy(F.reverse("node"), "w").rowsBetween(Window.unboundedPreceding, 0)
     out = b.join(F.broadcast(offsets), "bucket").withColumns({n: F.sum(f"_{n}").over(within) + F.col(f"_before_{n}") for n in sums})
     return out.drop(*(f"_{n}" for n in sums), *(f"_before_{n}" for n in sums), "bucket")
@@ -44,13 +58,13 @@ def carried(edges: DataFrame, k: int, value: Column, forward: bool, prefix: int
 
 
 def index(edges: DataFrame, k: int, prefix: int = PREFIX) -> DataFrame:
-    """Adds f, pos, node_id, end_node and lcs to an edge table."""
-    at = running(edges, k, {"pos": F.lit(1), "node_id": F.col("node_first")}, prefix)
-    at = at.withColumns({"pos": F.col("pos") - 1, "node_id": F.col("node_id") - 1, "f": K.symbol_code(F.right("node", F.lit(1))), "end_node": F.when(F.col("w") != K.DUMMY, F.concat(F.substring("node", 2, k), "w"))})
-    b = with_bucket(at, k, prefix)
-    order = Window.partitionBy("bucket").orderBy(F.reverse("node"), "w")
-    last = b.groupBy("bucket").agg(F.max(F.reverse("node")).alias("_last"))
-    last = last.select("bucket", F.reverse(F.lag("_last").over(Window.orderBy("bucket"))).alias("_before"))
-    b = b.join(F.broadcast(last), "bucket").withColumn("_prev", F.coalesce(F.lag("node").over(order), "_before"))
+    """Adds f, pos, node_id, end_node and lcs to an edge table: one aggregation of buckets and one sort of each."""
+    b = with_bucket(edges, k, prefix).withColumn("_back", F.reverse("node"))
+    totals = b.groupBy("bucket").agg(F.count("*").alias("_total_pos"), F.sum("node_first").alias("_total_node_id"), F.max("_back").alias("_last"))
+    order = Window.partitionBy("bucket").orderBy("_back", "w")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    at = b.join(F.broadcast(_offsets(totals, ["pos", "node_id"])), "bucket")
+    at = at.withColumns({"pos": F.row_number().over(order) + F.col("_before_pos") - 1, "node_id": F.sum("node_first").over(so_far) + F.col("_before_node_id") - 1, "_prev": F.coalesce(F.lag("node").over(order), F.reverse("_prev_last"))})
     lcs = F.when(F.col("_prev").isNull(), 0).when(F.col("_prev") == F.col("node"), k - 1).otherwise(K.common_suffix("node", "_prev", k - 1)).cast("long")
-    return b.withColumn("lcs", lcs).drop("bucket", "_before", "_prev")
+    at = at.withColumns({"f": K.symbol_code(F.right("node", F.lit(1))), "end_node": F.when(F.col("w") != K.DUMMY, F.concat(F.substring("node", 2, k), "w")), "lcs": lcs})
+    return at.select(*edges.columns, "pos", "node_id", "f", "end_node", "lcs")

@@ -26,15 +26,15 @@ def reads(docs: DataFrame, text: str = "text") -> DataFrame:
 def kmers(reads: DataFrame, k: int) -> DataFrame:
     """Every k-mer occurrence. Null reads and reads shorter than k give none.
 
-    A substring's cost grows with its position, so reads are first cut into overlapping pieces and those into k-mers:
-    the cost of a read of n symbols is n * n / PIECE at worst, not n * n.
+    Reads are cut as bytes, where a substring's cost doesn't grow with its place, into overlapping pieces first and those into
+    k-mers, so that no list of a long read's places is made.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
     last = F.floor((F.length("read") - k) / PIECE).cast("int")
-    pieces = reads.where(F.length("read") >= k).select("read", F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    pieces = reads.where(F.length("read") >= k).select(F.col("read").cast("binary").alias("read"), F.explode(F.sequence(F.lit(0), last)).alias("j"))
     pieces = pieces.select(F.substring(F.col("read"), F.col("j") * PIECE + 1, F.lit(PIECE + k - 1)).alias("piece"))
-    return pieces.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece") - k + 1)).alias("i")).select(F.substring(F.col("piece"), F.col("i"), F.lit(k)).alias("kmer"))
+    return pieces.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece") - k + 1)).alias("i")).select(F.substring(F.col("piece"), F.col("i"), F.lit(k)).cast("string").alias("kmer"))
 
 
 def distinct_kmers(reads: DataFrame, k: int) -> DataFrame:

@@ -53,8 +53,15 @@ def outgoing(g: Graph, order: int) -> DataFrame:
     return maxlen_symbol(g, order).select("hkey", "x", hyper_key(reached, order).alias("target"))
 
 
+def lastchar(g: Graph, order: int) -> DataFrame:
+    """(hkey, lastchar): the code of each hypernode's last symbol; at order 0 there is none."""
+    return shorter(g, order).select("hkey", F.when(F.length("hkey") > 0, K.symbol_code(F.right("hkey", F.lit(1)))).alias("lastchar"))
+
+
 def backward(g: Graph, order: int) -> DataFrame:
     """(hkey, pred): hypernodes of this order with an edge into each one without `$`. Below full order."""
+    if not 1 <= order < g.k - 1:
+        raise ValueError("the order must be positive and below the full one")
     made = F.concat(F.right("node", F.lit(order - 1)) if order > 1 else F.lit(""), F.col("w"))
     e = g.edges.where(F.col("w") != K.DUMMY).select(made.alias("hkey"), hyper_key("node", order).alias("pred")).where(~F.contains("hkey", F.lit(K.DUMMY)))
     there = g.edges.select(hyper_key("node", order).alias("hkey")).distinct()

@@ -15,19 +15,35 @@ def _sources(s, d):
 
 
 def _roundtrip(s, d):
-    return packed.unpack(packed.words(g := graph(s, d).edges)).join(g.select("pos"), "pos", "left_semi")
+    """Packs the edges and reads them by the running counts alone, as a reader of the file would."""
+    g = graph(s, d).edges
+    n = packed.f_table(g).agg(F.max("running")).first()[0]
+    return packed.unpack(packed.words(g), n)
+
+
+def _written(s, d, k=SHORT):
+    """A packed file on the shared folder."""
+    import uuid
+
+    from ..operators.lineage import shared_folder
+    from ..sources import packed_file, register
+
+    register(s)
+    path = f"{shared_folder(s)}/strandloom/{uuid.uuid4().hex}.packed"
+    packed_file.write_packed(graph(s, d, k), path)
+    return path
 
 
 def _dsk(s, d):
     """Writes counted k-mers as binary files to the shared folder and reads them back."""
     import uuid
 
-    from ..operators.lineage import cut
+    from ..operators.lineage import cut, shared_folder
     from ..sources import register
 
     register(s)
     counts = cut(reads.kmer_counts(reads.reads(docs(s, d)), LONG))
-    path = s.conf.get("spark.checkpoint.dir").removeprefix("file://") + f"/strandloom/dsk-{uuid.uuid4().hex}"
+    path = f"{shared_folder(s)}/strandloom/dsk-{uuid.uuid4().hex}"
     counts.write.format("dsk").option("k", LONG).mode("append").save(path)
     return s.read.format("dsk").load(path)
 
@@ -48,6 +64,11 @@ QUERIES = {
     "packed_roundtrip": _roundtrip,
     "unitigs": lambda s, d: unitig.unitigs(distinct(s, d, LONG), LONG),
     "graph_stats": lambda s, d: graph(s, d).stats(),
+    "edge_dump": lambda s, d: graph(s, d).dump(),
+    "lcs_bytes": lambda s, d: packed.lcs_words(graph(s, d).edges),
+    "packed_file_graph": lambda s, d: _graph.Graph.of_packed(s, _written(s, d)).edges.select("pos", "node_id", "node", "w", "tag", "lcs", "node_first", "end_first"),
+    "edge_positions_31": lambda s, d: graph(s, d, 31).edges.select("pos", "node_id", "node", "w", "lcs"),
+    "edge_positions_63": lambda s, d: graph(s, d, 63).edges.select("pos", "node_id", "node", "w", "lcs"),
     "dsk_source_roundtrip": _dsk,
 }
 
@@ -78,6 +99,11 @@ SQL = {
     "packed_words": f"WITH {graph_sql()} SELECT pos // 12 AS block_no, CAST(sum((code * 4 + node_first * 2 + end_first) * (CAST(1 AS BIGINT) << CAST(5 * (11 - pos % 12) AS INTEGER))) AS BIGINT) AS word FROM g GROUP BY 1",
     "packed_roundtrip": f"WITH {graph_sql()} SELECT pos, w, node_first, end_first FROM g",
     "unitigs": _UNITIGS,
+    "edge_dump": f"WITH {graph_sql()} SELECT pos, node || w || ' ' || node_first || ' ' || end_first AS line FROM g",
+    "lcs_bytes": f"WITH {graph_sql()} SELECT pos // 8 AS block_no, CAST(sum(lcs * (CAST(1 AS BIGINT) << CAST(8 * (pos % 8) AS INTEGER))) AS BIGINT) AS word FROM g GROUP BY 1",
+    "packed_file_graph": f"WITH {graph_sql()} SELECT pos, node_id, node, w, tag, lcs, node_first, end_first FROM g",
+    "edge_positions_31": f"WITH {graph_sql(31)} SELECT pos, node_id, node, w, lcs FROM g",
+    "edge_positions_63": f"WITH {graph_sql(63)} SELECT pos, node_id, node, w, lcs FROM g",
     "graph_stats": f"""WITH {graph_sql()} SELECT CAST({_K} AS BIGINT) AS k, *, round(packed_bytes * 8 / n_edges, 6) AS bits_per_edge FROM (
 SELECT count(*) AS n_edges, CAST(sum(node_first) AS BIGINT) AS n_nodes, count(*) FILTER (tag = 'standard') AS n_standard, count(*) FILTER (tag = 'in_dummy') AS n_in_dummies,
 count(*) FILTER (tag = 'out_dummy') AS n_out_dummies, count(*) FILTER (end_first = 0) AS n_minus, CAST(ceil(count(*) / 12) AS BIGINT) * 8 + 48 AS packed_bytes FROM g)""",

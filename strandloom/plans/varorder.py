@@ -15,6 +15,7 @@ QUERIES = {
     "hyper_maxlen": lambda s, d: V.maxlen(graph(s, d), _HIGH),
     "hyper_maxlen_symbol": lambda s, d: V.maxlen_symbol(graph(s, d), _HIGH),
     "hyper_outgoing": lambda s, d: V.outgoing(graph(s, d), _HIGH),
+    "hyper_lastchar": lambda s, d: V.lastchar(graph(s, d), _HIGH),
     "hyper_backward": lambda s, d: V.backward(graph(s, d), _HIGH),
 }
 
@@ -34,5 +35,6 @@ SQL = {
     "hyper_maxlen": _sql("SELECT hkey, node, (SELECT min(pos) FROM g WHERE g.node = m.node) AS first, (SELECT max(pos) FROM g WHERE g.node = m.node) AS last FROM (SELECT hkey, arg_min(node, pos) AS node FROM h GROUP BY hkey) m"),
     "hyper_maxlen_symbol": _sql(f", {_X} SELECT * FROM x"),
     "hyper_outgoing": _sql(f", {_X} SELECT hkey, x, {hkey_sql(_HIGH, '(substr(node, 2) || x)')} AS target FROM x"),
+    "hyper_lastchar": _sql("SELECT hkey, instr('$acgt', right(hkey, 1)) - 1 AS lastchar FROM h GROUP BY hkey"),
     "hyper_backward": _sql(f"SELECT DISTINCT right(node, {_HIGH - 1}) || w AS hkey, hkey AS pred FROM h WHERE w <> '$' AND instr(right(node, {_HIGH - 1}), '$') = 0 AND right(node, {_HIGH - 1}) || w IN (SELECT hkey FROM h)"),
 }

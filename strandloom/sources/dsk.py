@@ -60,6 +60,22 @@ def encode(kmer: str) -> int:
     return value
 
 
+def _decoded(block: bytes, bits: int, k: int):
+    """Records as an Arrow batch; symbols are looked up for all records at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    words = [(f"w{i}", "<u8") for i in range(bits // 64)]
+    records = np.frombuffer(block, dtype=np.dtype([*words, ("count", "<u4")]))
+    symbols, letters = np.empty((len(records), k), dtype=np.uint8), np.frombuffer(CODE.encode(), dtype=np.uint8)
+    for i in range(k):
+        at = 2 * (k - 1 - i)
+        symbols[:, i] = letters[(records[f"w{at // 64}"] >> np.uint64(at % 64) & np.uint64(3)).astype(np.int64)]
+    offsets = pa.array(np.arange(len(records) + 1, dtype=np.int32) * k)
+    kmers = pa.StringArray.from_buffers(len(records), offsets.buffers()[1], pa.py_buffer(symbols.tobytes()))
+    return pa.RecordBatch.from_arrays([kmers, pa.array(records["count"].astype(np.int64))], names=["kmer", "count"])
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, bits: int, k: int, first: int, n: int):
         self.path, self.bits, self.k, self.first, self.n = path, bits, k, first, n
@@ -86,9 +102,7 @@ class _Reader(DataSourceReader):
             left = partition.n
             while left:
                 block = f.read(size * min(left, AT_ONCE))
-                for record in struct.iter_unpack("<QI" if partition.bits == 64 else "<QQI", block):
-                    value = record[0] if partition.bits == 64 else record[1] << 64 | record[0]
-                    yield decode(value, partition.k), record[-1]
+                yield _decoded(block, partition.bits, partition.k)
                 left -= len(block) // size
 
 
@@ -112,19 +126,21 @@ class _Writer(DataSourceWriter):
             for row in iterator:
                 if len(row[0]) != self.k:
                     raise DskError(f"not a {self.k}-mer: {row[0]}")
-                value, count = encode(row[0]), min(row[1], 2**32 - 1)
+                value, count = encode(row[0]), row[1]
+                if not 0 <= count < 2**32:
+                    raise DskError(f"a count of {count} does not fit in 32 bits: {row[0]}")
                 f.write(struct.pack("<QI", value, count) if bits == 64 else struct.pack("<QQI", value & 2**64 - 1, value >> 64, count))
                 n += 1
+        if not n:
+            os.unlink(os.path.join(self.path, name))
         return _Done(name if n else None)
 
     def commit(self, messages):
         kept = {m.name for m in messages if m and m.name}
-        for p in Path(self.path).iterdir():
-            if self.overwrite and p.name.startswith("part-"):
-                p.unlink()
+        old = [p for p in Path(self.path).iterdir() if self.overwrite and p.name.startswith("part-")]
         for i, name in enumerate(sorted(kept)):
-            os.rename(os.path.join(self.path, name), os.path.join(self.path, f"part-{i:05d}-{name[1:9]}.dsk"))
-        for p in Path(self.path).glob(".*"):
+            os.rename(os.path.join(self.path, name), os.path.join(self.path, f"part-{i:05d}-{name[1:]}.dsk"))
+        for p in old:
             p.unlink()
 
     def abort(self, messages):

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed value of the format: words after the last edge word.
 FOOTER_WORDS = 6
-RANGE = 1 << 22
+RANGE, AT_ONCE = 1 << 22, 1 << 16
 
 
 def _local(path: str) -> str:
@@ -48,10 +49,15 @@ class _Reader(DataSourceReader):
         return [_Range(lo, min(RANGE, n - lo)) for lo in range(0, n, RANGE)] or [_Range(0, 0)]
 
     def read(self, partition):
+        import numpy as np
+        import pyarrow as pa
+
         with open(self.path, "rb") as f:
             f.seek(8 * partition.first)
-            for i in range(partition.n):
-                yield partition.first + i, struct.unpack("<q", f.read(8))[0]
+            for lo in range(0, partition.n, AT_ONCE):
+                words = np.frombuffer(f.read(8 * min(AT_ONCE, partition.n - lo)), dtype="<i8")
+                first = partition.first + lo
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(words))), pa.array(words)], names=["block_no", "word"])
 
 
 class _Done(WriterCommitMessage):
@@ -59,27 +65,33 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, counts: list[int], k: int):
-        self.path, self.tail = _local(path), struct.pack(f"<{FOOTER_WORDS}Q", *counts, k)
-        self.n = -(-counts[-1] // 12)
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
-        with open(self.path, "wb") as f:
-            f.truncate(8 * self.n)
+    """Words go to their own places in a hidden file beside the target, which takes its name only when all are there."""
+
+    def __init__(self, path: str, size: int, tail: bytes):
+        self.path, self.size, self.tail = _local(path), size, tail
+        folder, name = os.path.split(self.path)
+        self.made = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+        os.makedirs(folder or ".", exist_ok=True)
+        with open(self.made, "wb") as f:
+            f.truncate(size)
 
     def write(self, iterator):
-        with open(self.path, "r+b") as f:
+        with open(self.made, "r+b") as f:
             for block, word in iterator:
                 f.seek(8 * block)
                 f.write(struct.pack("<q", word))
         return _Done()
 
     def commit(self, messages):
-        with open(self.path, "r+b") as f:
-            f.seek(8 * self.n)
+        with open(self.made, "r+b") as f:
+            f.truncate(self.size)
+            f.seek(self.size)
             f.write(self.tail)
+        os.replace(self.made, self.path)
 
     def abort(self, messages):
-        os.unlink(self.path)
+        if os.path.exists(self.made):
+            os.unlink(self.made)
 
 
 class PackedGraphSource(DataSource):
@@ -94,7 +106,10 @@ class PackedGraphSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], [int(x) for x in self.options["counts"].split(",")], int(self.options["k"]))
+        if "bytes" in self.options:
+            return _Writer(self.options["path"], int(self.options["bytes"]), b"")
+        counts = [int(x) for x in self.options["counts"].split(",")]
+        return _Writer(self.options["path"], 8 * -(-counts[-1] // 12), struct.pack(f"<{FOOTER_WORDS}Q", *counts, int(self.options["k"])))
 
 
 def write_packed(graph, path: str) -> None:
@@ -106,6 +121,17 @@ def write_packed(graph, path: str) -> None:
     words.write.format("packed_graph").option("counts", ",".join(map(str, counts))).option("k", graph.k).mode("append").save(path)
 
 
+def write_lcs(graph, path: str) -> None:
+    """A graph's common suffix lengths, one byte an edge."""
+    from ..operators import packed
+
+    if graph.k > 256:
+        raise ValueError("common suffixes of k over 256 don't fit in a byte")
+    n = graph.edges.count()
+    words = packed.lcs_words(graph.edges).repartitionByRange("block_no").sortWithinPartitions("block_no").select("block_no", "word")
+    words.write.format("packed_graph").option("bytes", n).mode("append").save(path)
+
+
 def read_packed(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(pos, w, node_first, end_first) of a packed file, and k."""
     from ..operators import packed
