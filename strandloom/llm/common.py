@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,22 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 #: ASCII upper case to lower case, and nothing else.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: True at the six bytes that separate words: space and 0x09-0x0D.
 IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def bounded(spark: SparkSession) -> None:
     """Arrow batches of texts go by bytes, so that a batch of long texts needs no more memory than one of short texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
@@ -41,7 +32,7 @@ def written(df: DataFrame, name: str = "table", dictionary: bool = True) -> Data
     """
     spark = df.sparkSession
     bounded(spark)
-    path = f"{shared_folder(spark).rstrip('/')}/strandloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
