@@ -179,7 +179,7 @@ def _large(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         more = written(more.join(_several(more), "key"), "blocks")
         found.append(written(_alike(_pairs(more, similarity), texts, similarity), "like"))
         while not last.isEmpty():
-            k *= LEADERS
+            k *= LEADERS * LEADERS
             like, last = _led(last, rows, texts, k, similarity)
             found.append(like)
         rows = more.where(F.col("m") > SMALL).drop("m")
