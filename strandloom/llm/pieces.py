@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded, slices, utf8
 
 SPACE = 0x2581
+MARK = chr(SPACE).encode()
 #: Bytes of a giant text, characters of a chunk, chunks worked out side by side, entries of a task's list, bytes of text at once.
 GIANT, CHUNK, LANES, KEPT, AT_ONCE = 64 << 10, 512, 256, 1_000_000, 2 << 20
 LOW = -(1 << 62)
@@ -344,6 +345,7 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *found])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        texts = [t.replace(MARK, b" ") for t in texts]  # both are the space's character, whether or not a text is cut there
         out: list = [None] * len(texts)
         split = {}
         for k, t in enumerate(texts):
@@ -421,9 +423,6 @@ class Merger(Encoder):
             found.append(self.v.spelt(np.array([ids(p, -1) for p in parts], dtype=np.int64), np.array([ord(p[0]) for p in parts])))
         return found
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        return super().__call__([t.replace("▁".encode(), b" ") for t in texts])
-
 
 def encoder(v: Vocabulary, giant: int = GIANT, chunk: int = CHUNK) -> Encoder:
     """What encodes as the model's type says."""
