@@ -10,10 +10,11 @@ as it is, so no pair is lost. A longer line has blocks of RUN words that begin a
 is chosen depends on the words alone, not on their places. An edit changes at most RUN blocks, and all chosen ones must be hit for a
 pair to be lost: the README gives the measured share. SimHash blocks lose two thirds of such pairs (see there).
 
-Blocks shared by up to SMALL lines give all their pairs of fitting lengths. In a larger one the lines first meet LEADERS of
-their own; those that are unlike all of them go on to blocks of one more shared key, as long as there are more keys, and after that to further leaders, until
-each has been linked or has led. Leaders meet all lines of their block, linked ones too. Rows stay in proportion to the lines;
-no line is left out.
+Blocks shared by up to SMALL lines give all their pairs of fitting lengths. A larger one is cut by words: each of its lines joins a block
+with each of its rarest words, one more than edits can take from it, so that alike lines of the block meet again (see _rarest). Of
+these blocks, too, the small ones give all their pairs. In a large one, mostly of lines that are like each other, lines meet
+LEADERS of the block, and those that are unlike all of them meet more and more leaders, until each has been linked or has led. Leaders meet
+all lines of their block, linked ones too. Rows stay in proportion to the lines; no line is left out.
 
 Lines without words are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
 a null text passes through; null ids come last in order, by their texts. Rows with one id and one text are one document, whose rows are
@@ -164,25 +165,28 @@ def _led(open_: DataFrame, whole: DataFrame, texts: DataFrame, k: int, similarit
     return like, written(open_.join(done, ["key", "line_id"], "left_anti"), "open")
 
 
+def _rarest(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(line_id, w) of each line's rarest words: one more than edits can take from it, so that alike lines share one of them or have no word in common."""
+    words = written(texts.join(lines, "line_id").select("line_id", "n", F.explode(F.array_distinct(F.split("coded", ""))).alias("w")), "words")
+    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("c")), "w").groupBy("line_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "w"))).alias("words"))
+    edits = F.floor(F.col("n") * F.lit((1 - similarity) / similarity) + 1e-6).cast("int")
+    out = written(ranked.select("line_id", F.explode(F.slice("words", F.lit(1), edits + 1)["w"]).alias("w")), "rarest")
+    forget(words)
+    return out
+
+
 def _large(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links in large blocks: (key, line_id, n) of their lines."""
-    own = texts.select("line_id", "n", F.split("coded", "").alias("words")).select("line_id", _runs("words", "n", RUN - 1).alias("runs"))
-    rows = written(rows.join(own, "line_id").withColumn("of", F.col("key")).withColumn("used", F.array().cast("array<bigint>")), "large")
-    found = []
-    while not rows.isEmpty():
-        like, open_ = _led(rows, rows, texts, LEADERS, similarity)
+    """Links in large blocks: (key, line_id, n) of their lines, each of which is in a block with every rare word of its own."""
+    rare = _rarest(rows.select("line_id").distinct(), texts, similarity)
+    cut = rows.join(rare, "line_id").select(F.xxhash64("key", "w").alias("key"), "line_id", "n")
+    blocks = written(cut.join(_several(cut), "key"), "blocks")
+    found = [written(_alike(_pairs(blocks, similarity), texts, similarity), "like")]
+    whole = written(blocks.where(F.col("m") > SMALL).drop("m"), "large")
+    open_, k = whole, LEADERS
+    while not open_.isEmpty():
+        like, open_ = _led(open_, whole, texts, k, similarity)
         found.append(like)
-        # what is open goes to blocks of one more run; a set of runs is one block
-        last, k = open_.where(F.size("used") == F.size("runs")), LEADERS
-        more = open_.withColumn("next", F.explode(F.array_except("runs", "used"))).withColumn("used", F.array_sort(F.array_append("used", F.col("next"))))
-        more = more.withColumn("key", F.xxhash64("of", "used")).drop("next").dropDuplicates(["key", "line_id"])
-        more = written(more.join(_several(more), "key"), "blocks")
-        found.append(written(_alike(_pairs(more, similarity), texts, similarity), "like"))
-        while not last.isEmpty():
-            k *= LEADERS * LEADERS
-            like, last = _led(last, rows, texts, k, similarity)
-            found.append(like)
-        rows = more.where(F.col("m") > SMALL).drop("m")
+        k *= LEADERS * LEADERS
     return reduce(DataFrame.union, found)
 
 
