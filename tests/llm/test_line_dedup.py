@@ -3,6 +3,7 @@ import re
 
 import helpers as H
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import line_dedup as L
 
@@ -183,3 +184,23 @@ def test_lines_of_few_distinct_words(spark):
     """Ten words of which few are distinct may differ in one, and nine words are like ten."""
     lines = ["a b a b a b a b a b", "a b a b a x a b a b", "one two three four five six seven eight nine", "one two three four five six seven eight nine ten", "p q r s t u v w", "p q r s t u v w x"]
     assert _groups(spark, lines) == _all_pairs(lines) == {0, 2, 4, 5}
+
+
+def test_alike_lines_share_a_rare_word(spark):
+    """Lines within the edits that a link allows have a rarest word in common, whichever words are common in the table."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        n = rng.randint(9, 60)
+        a = [f"w{min(rng.randrange(200), rng.randrange(200))}" for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), int(n * 0.1 + 1e-9)):
+            b[at] = f"w{rng.randrange(200)}"
+        c = a + [f"x{rng.randrange(9)}" for _ in range(int(n / 9 + 1e-9))]
+        rows += [(3 * i + j, len(x), " ".join(x)) for j, x in enumerate((a, b, c))]
+    texts = spark.createDataFrame(rows, "line_id long, n int, line string")
+    texts = texts.select("line_id", "n", L._coded(L._words(F.col("line"))).alias("coded"))
+    rare: dict[int, set] = {}
+    for r in L._rarest(texts.select("line_id"), texts, 0.9).collect():
+        rare.setdefault(r.line_id, set()).add(r.w)
+    assert all(rare[3 * i] & rare[3 * i + j] for i in range(60) for j in (1, 2))
