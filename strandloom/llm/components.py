@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating stars; DataFrame operations only.
 
 Each round every node hands its larger neighbours to its least neighbour (large star), then its smaller neighbours to the
-least of them (small star), until nothing changes; what is left are stars around the least node of each component. Rounds
+least of them (small star), until what is left are stars around the least node of each component. Rounds
 are logarithmic in the number of nodes, each a few joins and partial aggregations over the links. Minima are written to the
 shared folder before they are joined back, so that both sides of that join are plain tables and Spark can split a hub's.
 """
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link down or none, and only links up where it has none: then each component is a star."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,11 +35,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b), two long columns; component is its least node. Loops and nulls have no effect."""
-    edges = written(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
-    state = _state(edges)
-    while state[0]:
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    while not _stars(edges):
         edges = written(_small(written(_large(edges), "links")), "links")
-        before, state = state, _state(edges)
-        if state == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
