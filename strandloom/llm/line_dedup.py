@@ -10,11 +10,11 @@ as it is, so no pair is lost. A longer line has blocks of RUN words that begin a
 is chosen depends on the words alone, not on their places. An edit changes at most RUN blocks, and all chosen ones must be hit for a
 pair to be lost: the README gives the measured share. SimHash blocks lose two thirds of such pairs (see there).
 
-Blocks shared by up to SMALL lines give all their pairs of fitting lengths. A larger one is cut by words: each of its lines joins a block
-with each of its rarest words, one more than edits can take from it, so that alike lines of the block meet again (see _rarest). Of
-these blocks, too, the small ones give all their pairs. In a large one, mostly of lines that are like each other, lines meet
-LEADERS of the block, and those that are unlike all of them meet more and more leaders, until each has been linked or has led. Leaders meet
-all lines of their block, linked ones too. Rows stay in proportion to the lines; no line is left out.
+Blocks shared by up to SMALL lines give all their pairs of fitting lengths. In a larger one, LEADERS of its lines meet all of them first;
+the links so far connect most lines of a family of copies. Lines of one group need not meet any more, so what is left are the
+lines outside the block's main group, each with the lines of other groups. For these, blocks are cut by words: each line joins the block
+with each of its rarest words, one more than edits can take from it, so that alike lines of the block meet again (see _rarest). A pair
+that shares several cut blocks is made in the first of them only. Groups are those that all pairs of a block would give; no line is left out.
 
 Lines without words are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
 a null text passes through; null ids come last in order, by their texts. Rows with one id and one text are one document, whose rows are
@@ -25,8 +25,6 @@ Columns of the input may have any names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,9 @@ from .common import forget, free_name, perhaps_in, written
 from .components import components
 
 #: Lines of a small block, leaders of a large one, words of a run, runs of a line, bits of a place within a line.
-SMALL, LEADERS, RUN, ANCHORS, PLACES = 64, 4, 4, 5, 24
+SMALL, LEADERS, RUN, ANCHORS, PLACES = 64, 8, 4, 5, 24
+#: Rare words up to which a row of a cut block has them all, to tell whether a pair meets in another one, too.
+MANY = 64
 #: Edits up to which distances are tried first, as a band's cost grows with it.
 FEW = 4
 LAST = (1 << 63) - 1
@@ -152,42 +152,56 @@ def links(table: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     texts = written(texts.select("line_id", "n", _coded(_words(F.col("line"))).alias("coded")).dropDuplicates(["line_id"]), "coded")
     found = written(_alike(pairs, texts, similarity), "like")
     forget(pairs, needed, several)
-    return found if large.isEmpty() else found.union(_large(large.select("key", "line_id", "n"), texts, similarity))
+    return found if large.isEmpty() else _large(large.select("key", "line_id", "n"), texts, found, similarity)
 
 
-def _led(open_: DataFrame, whole: DataFrame, texts: DataFrame, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of k leaders of each block's open lines with all its lines, and what stays open."""
-    lead = open_.groupBy("key", F.pmod("line_id", F.lit(k)).alias("of")).agg(F.min(F.struct("line_id", "n")).alias("o"))
+def _led(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links of LEADERS lines of each block with all its lines."""
+    lead = rows.groupBy("key", F.pmod("line_id", F.lit(LEADERS)).alias("of")).agg(F.min(F.struct("line_id", "n")).alias("o"))
     lead = lead.select("key", F.col("o.line_id").alias("a"), F.col("o.n").alias("a_n"))
-    met = written(lead.join(_side(whole, "b"), "key").where(_fit(similarity)).select("key", "a", "b"), "met")  # leaders meet themselves, too
-    like = written(_alike(met.where("a <> b").select("a", "b").distinct(), texts, similarity), "like")
-    done = met.where("a = b").union(met.join(like, ["a", "b"]).select("key", "a", "b")).select("key", F.col("b").alias("line_id")).distinct()
-    return like, written(open_.join(done, ["key", "line_id"], "left_anti"), "open")
+    met = lead.join(_side(rows, "b"), "key").where((F.col("a") != F.col("b")) & _fit(similarity))
+    return written(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity), "led")
 
 
 def _rarest(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(line_id, w) of each line's rarest words: one more than edits can take from it, so that alike lines share one of them or have no word in common."""
-    words = written(texts.join(lines, "line_id").select("line_id", "n", F.explode(F.array_distinct(F.split("coded", ""))).alias("w")), "words")
+    """(line_id, w, ws) of each line's rarest words w: one more than edits can take from it, so that alike lines share one of them or have no word in common.
+
+    ws has them all, or is null if they are more than MANY, so that a line's rows stay in proportion to its length.
+    """
+    words = written(texts.join(lines, "line_id").select("line_id", "n", F.explode(F.array_distinct(F.split("coded", ""))).alias("w")).withColumn("w", F.ascii("w")), "words")
     ranked = words.join(words.groupBy("w").agg(F.count("*").alias("c")), "w").groupBy("line_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "w"))).alias("words"))
     edits = F.floor(F.col("n") * F.lit((1 - similarity) / similarity) + 1e-6).cast("int")
-    out = written(ranked.select("line_id", F.explode(F.slice("words", F.lit(1), edits + 1)["w"]).alias("w")), "rarest")
+    ws = ranked.select("line_id", F.slice("words", F.lit(1), edits + 1)["w"].alias("ws"))
+    out = written(ws.select("line_id", F.explode("ws").alias("w"), F.when(F.size("ws") <= MANY, F.col("ws")).alias("ws")), "rarest")
     forget(words)
     return out
 
 
-def _large(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links in large blocks: (key, line_id, n) of their lines, each of which is in a block with every rare word of its own."""
-    rare = _rarest(rows.select("line_id").distinct(), texts, similarity)
-    cut = rows.join(rare, "line_id").select(F.xxhash64("key", "w").alias("key"), "line_id", "n")
-    blocks = written(cut.join(_several(cut), "key"), "blocks")
-    found = [written(_alike(_pairs(blocks, similarity), texts, similarity), "like")]
-    whole = written(blocks.where(F.col("m") > SMALL).drop("m"), "large")
-    open_, k = whole, LEADERS
-    while not open_.isEmpty():
-        like, open_ = _led(open_, whole, texts, k, similarity)
-        found.append(like)
-        k *= LEADERS * LEADERS
-    return reduce(DataFrame.union, found)
+def _apart(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """(key, line_id, n, of, open) of the blocks whose lines aren't all of one group: `of` names a line's group, open lines are outside their block's main one."""
+    of = rows.join(group.select(F.col("node").alias("line_id"), "component"), "line_id", "left").withColumn("of", F.coalesce("component", "line_id")).drop("component")
+    of = written(of, "of")
+    main = of.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "of"))["of"].alias("main"), F.count("*").alias("groups"))
+    out = written(of.join(main.where("groups > 1"), "key").select("key", "line_id", "n", "of", (F.col("of") != F.col("main")).alias("open")), "apart")
+    forget(of)
+    return out
+
+
+def _large(rows: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect what found and the large blocks (key, line_id, n) connect."""
+    led = _led(rows, texts, similarity)
+    group = written(components(found.union(led)), "led-groups")
+    apart = _apart(rows, group)
+    keys = apart.groupBy("line_id").agg(F.sort_array(F.collect_set("key")).alias("ks"))
+    cut = written(apart.join(_rarest(keys.select("line_id"), texts, similarity), "line_id").join(keys, "line_id"), "cut")
+    side = lambda x: cut.select("key", "w", F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "of", "open", "ws", "ks")))
+    once = F.expr("array_min(array_intersect(a_ks, b_ks)) = key and coalesce(array_min(array_intersect(a_ws, b_ws)) = w, true)")
+    meet = F.expr("a_of <> b_of and (not b_open or a < b)") & _fit(similarity) & once
+    pairs = side("a").where("a_open").join(side("b"), ["key", "w"]).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    more = written(_alike(pairs, texts, similarity), "like")
+    forget(led, apart, cut, pairs)
+    return group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
 
 
 def dropped(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
