@@ -40,9 +40,13 @@ FEW = 4
 LAST = (1 << 63) - 1
 
 
+#: ASCII marks and white space but the line end and the space, one by one: Java looks single characters up in a table, and tries ranges in turn.
+_MARKS = "[" + "".join(f"\\x{c:02x}" for c in (9, *range(11, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127))) + "]+"
+
+
 def _plain(text: Column) -> Column:
     """A text in lower case, with a space for ASCII marks and for white space but the line end."""
-    return F.regexp_replace(F.lower(text), r"[\x09\x0b-\x0d\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", " ")
+    return F.regexp_replace(F.lower(text), _MARKS, " ")
 
 
 def _words(plain: Column) -> Column:
@@ -73,8 +77,8 @@ def _runs(words: str, n: str, run: int) -> Column:
     hashed = F.transform(F.col(words), lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
     least = F.slice(F.sort_array(hashed), F.lit(1), F.lit(ANCHORS))
     # a run that would go beyond the end is the line's last one
-    word = lambda a, j: F.get(F.col(words), F.least(a.bitwiseAND(F.lit(low)), F.col(n) - run).cast("int") + j)
-    return F.array_distinct(F.transform(least, lambda a: F.xxhash64(*(word(a, j) for j in range(run)))))
+    start = lambda a: F.greatest(F.lit(0), F.least(a.bitwiseAND(F.lit(low)), F.col(n) - run)).cast("int") + 1
+    return F.array_distinct(F.transform(least, lambda a: F.xxhash64(F.slice(F.col(words), start(a), F.lit(run)))))
 
 
 def _least(edits: int, similarity: float) -> int:
