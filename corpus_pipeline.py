@@ -28,7 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id and one text are one document, of which the first row stays. Rows of one id and different texts are documents of their own.
     Rows without id, without text or without words stay.
     """
-    joined = jaccard_join.jaccard_join(docs, words=5, percent=80).where("group_id is not null and doc_id is not null")
+    joined = jaccard_join.jaccard_join(docs, words=5, percent=80, counted=False).where("group_id is not null and doc_id is not null")
     rows = written(joined.groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("n")), "members")
     first = written(rows.groupBy("group_id").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).where("c > 1"), "groups")
     of_least = rows.join(first, "group_id").where("doc_id = least").groupBy("group_id").agg(F.min("text_key").alias("least_text"))
