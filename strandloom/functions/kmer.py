@@ -99,8 +99,31 @@ def label_symbol(code: Column) -> Column:
     return F.substring(F.lit("$ACGT"), (code + 1).cast("int"), F.lit(1))
 
 
+def common_prefix(a: Column | str, b: Column | str, width: int) -> Column:
+    """Length of the longest common prefix that holds no `$`, at most width: steps of halves, each a comparison of bytes."""
+    a, b = (_col(x).cast("binary") for x in (a, b))
+    steps = [1 << i for i in reversed(range(width.bit_length()))]
+    same = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, s: n + F.when((n + s <= width) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s)), s).otherwise(0))
+    plain = F.locate(DUMMY, a.cast("string")) - 1
+    return F.when(plain >= 0, F.least(same, plain)).otherwise(same).cast("long")
+
+
 def common_suffix(a: Column | str, b: Column | str, width: int) -> Column:
     """Length of the longest common suffix that holds no `$`, at most width."""
-    a, b = _col(a), _col(b)
-    same = [(F.right(a, F.lit(i)) == F.right(b, F.lit(i))) & ~F.contains(F.right(a, F.lit(i)), F.lit(DUMMY)) for i in range(1, width + 1)]
-    return sum((s.cast("long") for s in same), F.lit(0).cast("long"))
+    return common_prefix(F.reverse(_col(a)), F.reverse(_col(b)), width)
+
+
+#: The 16 pairs of symbols as bytes, with a nibble for each symbol, and as a nibble for the pair.
+_PAIRS, _HEX = "".join(chr(16 * i + j) for i in range(1, 5) for j in range(1, 5)), "0123456789ABCDEF"
+
+
+def packed(s: Column | str, width: int) -> Column:
+    """A label of this width as bytes, two bits a symbol, whose order is the label's; `$` counts as `a`."""
+    s = _col(s) if width % 4 == 0 else F.rpad(_col(s), width + -width % 4, "a")
+    pairs = F.unhex(F.translate(s, "acgt$", "12341")).cast("string")
+    return F.unhex(F.translate(pairs, _PAIRS, _HEX))
+
+
+def label(code: Column | str, width: int) -> Column:
+    """The label that was packed."""
+    return F.substring(F.translate(F.hex(F.translate(F.hex(_col(code)), _HEX, _PAIRS)), "1234", SYMBOLS), 1, width)

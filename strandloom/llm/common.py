@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import forget, shared_folder  # noqa: F401
 
 #: ASCII upper case to lower case, and nothing else.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,14 +44,6 @@ def written(df: DataFrame, name: str = "table", dictionary: bool = True) -> Data
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Remove written tables that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't have."""
     taken = {c.lower() for c in df.columns}

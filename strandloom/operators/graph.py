@@ -12,6 +12,11 @@ from . import ordinals, pack, packed, reads
 from .lineage import cut
 
 
+def indexed(kmers: DataFrame, k: int, revcomps: bool = True, all_dummies: bool = True, compact: bool = False) -> DataFrame:
+    """The index of a graph that is read once: only the packed edges are written, and columns that aren't asked for aren't worked out. Compact: shuffles take less disk and more time."""
+    return ordinals.index(pack.written(kmers, k, revcomps, all_dummies, compact), k, compact=compact)
+
+
 @dataclass(frozen=True)
 class Graph:
     """An indexed edge table (see ordinals.index) and its k."""
@@ -21,12 +26,12 @@ class Graph:
 
     @classmethod
     def of_text(cls, docs: DataFrame, k: int, revcomps: bool = True, all_dummies: bool = True, text: str = "text") -> Graph:
-        return cls.of_kmers(reads.distinct_kmers(reads.reads(docs, text), k), k, revcomps, all_dummies)
+        return cls.of_kmers(reads.kmers(reads.reads(docs, text), k), k, revcomps, all_dummies)
 
     @classmethod
     def of_kmers(cls, kmers: DataFrame, k: int, revcomps: bool = True, all_dummies: bool = True) -> Graph:
         """Packs and indexes once: both tables are written to the shared folder, so that every question reads the index as it is."""
-        return cls(cut(ordinals.index(cut(pack.pack(kmers, k, revcomps, all_dummies), "edges"), k), "index"), k)
+        return cls(cut(indexed(kmers, k, revcomps, all_dummies), "index"), k)
 
     @classmethod
     def of_packed(cls, spark: SparkSession, path: str) -> Graph:

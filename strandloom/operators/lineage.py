@@ -20,8 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet to the shared folder and go on from there: what is read back is computed once, however often it is used."""
-    path = f"{shared_folder(df.sparkSession)}/strandloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder and go on from there: what is read back is computed once, however often it is used.
+
+    Labels hold two bits a symbol, which zstd comes close to; the shuffle files behind the table go at once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

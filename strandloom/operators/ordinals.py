@@ -57,14 +57,20 @@ def carried(edges: DataFrame, k: int, value: Column, forward: bool, prefix: int
     return b.join(F.broadcast(tiny), "bucket").withColumn("carried", F.coalesce(pick("_v").over(within), "_else")).drop("bucket", "_v", "_else")
 
 
-def index(edges: DataFrame, k: int, prefix: int = PREFIX) -> DataFrame:
-    """Adds f, pos, node_id, end_node and lcs to an edge table: one aggregation of buckets and one sort of each."""
+def index(edges: DataFrame, k: int, prefix: int = PREFIX, compact: bool = False) -> DataFrame:
+    """Adds f, pos, node_id, end_node and lcs to an edge table: one aggregation of buckets and one sort of each. Compact: nodes are dealt out with two bits a symbol, which takes less disk and more time."""
     b = with_bucket(edges, k, prefix).withColumn("_back", F.reverse("node"))
     totals = b.groupBy("bucket").agg(F.count("*").alias("_total_pos"), F.sum("node_first").alias("_total_node_id"), F.max("_back").alias("_last"))
-    order = Window.partitionBy("bucket").orderBy("_back", "w")
+    at, back = b.drop("node"), ["_back"]
+    if compact:
+        plain, back = F.locate(K.DUMMY, F.col("_back")) - 1, ["_packed", "_plain"]  # the order of _back: a padded label comes before those that it begins
+        at = at.withColumns({"_packed": K.packed("_back", k - 1), "_plain": F.when(plain >= 0, plain).otherwise(k - 1)}).drop("_back").repartition("bucket")
+        at = at.withColumn("_back", F.rpad(F.substring(K.label("_packed", k - 1), F.lit(1), F.col("_plain")), k - 1, K.DUMMY))
+    order = Window.partitionBy("bucket").orderBy(*back, "w")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    at = b.join(F.broadcast(_offsets(totals, ["pos", "node_id"])), "bucket")
-    at = at.withColumns({"pos": F.row_number().over(order) + F.col("_before_pos") - 1, "node_id": F.sum("node_first").over(so_far) + F.col("_before_node_id") - 1, "_prev": F.coalesce(F.lag("node").over(order), F.reverse("_prev_last"))})
-    lcs = F.when(F.col("_prev").isNull(), 0).when(F.col("_prev") == F.col("node"), k - 1).otherwise(K.common_suffix("node", "_prev", k - 1)).cast("long")
-    at = at.withColumns({"f": K.symbol_code(F.right("node", F.lit(1))), "end_node": F.when(F.col("w") != K.DUMMY, F.concat(F.substring("node", 2, k), "w")), "lcs": lcs})
+    at = at.withColumns({"pos": F.row_number().over(order), "node_id": F.sum("node_first").over(so_far), "_prev": F.lag("_back").over(order)})
+    at = at.join(F.broadcast(_offsets(totals, ["pos", "node_id"])), "bucket")
+    at = at.withColumns({"pos": F.col("pos") + F.col("_before_pos") - 1, "node_id": F.col("node_id") + F.col("_before_node_id") - 1, "_prev": F.coalesce("_prev", "_prev_last"), "node": F.reverse("_back")})
+    lcs = F.when(F.col("_prev").isNull(), 0).when(F.col("_prev") == F.col("_back"), k - 1).otherwise(K.common_prefix("_back", "_prev", k - 1)).cast("long")
+    at = at.withColumns({"f": K.symbol_code(F.substring("_back", 1, 1)), "end_node": F.when(F.col("w") != K.DUMMY, F.concat(F.substring("node", 2, k), "w")), "lcs": lcs})
     return at.select(*edges.columns, "pos", "node_id", "f", "end_node", "lcs")

@@ -111,3 +111,40 @@ def test_ordinals_prefix(spark):
     e = pack.pack(_kmers(spark, _of_read("acgtacgattacagatta", 6)), 6)
     one, three = (_rows(ordinals.index(e, 6, p), "pos", "node", "w", "lcs") for p in (1, 3))
     assert one == three
+
+
+def test_packed_labels_keep_their_order_and_come_back(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import kmer as K
+
+    rng = random.Random(3)
+    for width in (1, 6, 30, 31, 62):
+        labels = sorted({"".join(rng.choice("acgt") for _ in range(width)) for _ in range(50)})
+        df = spark.createDataFrame([(x,) for x in labels], "s string").withColumn("p", K.packed("s", width))
+        got = df.select("s", "p", K.label("p", width).alias("back"), F.length("p").alias("n")).collect()
+        assert all(r.s == r.back and r.n == -(-width // 4) for r in got)
+        assert [r.s for r in sorted(got, key=lambda r: bytes(r.p))] == labels
+
+
+def test_compact_index_and_written_tables(spark):
+    """Compact shuffles give the same index; of what is written only the edges and the few sources stay, and common suffixes are no sum of k comparisons."""
+    import os
+    import random
+
+    from strandloom.functions import kmer as K
+    from strandloom.operators import graph, reads
+    from strandloom.operators.lineage import shared_folder
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("acgt") for _ in range(n)) for n in (5, 9, 40, 80, 200)] + [None, ""]
+    df = reads.reads(spark.createDataFrame([(x,) for x in texts + texts[:3]], "text string"))
+    rows = lambda compact, rc, k: sorted(map(str, graph.indexed(reads.kmers(df, k), k, rc, compact=compact).collect()))
+    folder = f"{shared_folder(spark)}/strandloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    for k, rc in ((2, True), (5, True), (9, True), (12, True), (9, False)):
+        assert rows(False, rc, k) == rows(True, rc, k)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} <= {"edges", "sources"}
+    assert len(str(K.common_suffix("a", "b", 62))) < 2000
