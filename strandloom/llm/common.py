@@ -60,13 +60,24 @@ def _word(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - TABLE).cast("int")
 
 
+def _asked(df: DataFrame, h: Column, hashes: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    word, bits, at = (free_name(df, x) for x in ("bits_word", "bits", "bits_at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    table = hashes.select(_word(F.col("h")).alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
+    asked = df.withColumn(word, _word(h)).withColumn(at, h.bitwiseAND(F.lit(63)).cast("int"))
+    return asked.join(F.broadcast(table), word, how), F.call_function("shiftright", F.col(bits), F.col(at)).bitwiseAND(F.lit(1)) == 1
+
+
 def perhaps_in(df: DataFrame, h: Column, hashes: DataFrame) -> DataFrame:
     """The rows of df whose 64-bit hash h is among those in column h of hashes, and a few others: a join with a bit table of at most 2^17 rows (2 MB)."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    table = hashes.select(_word(F.col("h")).alias("bits_word"), bit.alias("bit")).groupBy("bits_word").agg(F.bit_or("bit").alias("bits"))
-    asked = df.withColumn("bits_word", _word(h)).withColumn("bits_at", h.bitwiseAND(F.lit(63)).cast("int"))
-    found = asked.join(F.broadcast(table), "bits_word").where(F.call_function("shiftright", F.col("bits"), F.col("bits_at")).bitwiseAND(F.lit(1)) == 1)
-    return found.select(*df.columns)
+    found, there = _asked(df, h, hashes, "inner")
+    return found.where(there).select(*df.columns)
+
+
+def marked_in(df: DataFrame, h: Column, hashes: DataFrame, name: str) -> DataFrame:
+    """df with a column of this name that is false only where the hash h isn't among those of hashes (see perhaps_in)."""
+    found, there = _asked(df, h, hashes, "left")
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(there, F.lit(False)).alias(name))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,9 @@ lines outside the block's main group, each with the lines of other groups. For t
 with each of its rarest words, one more than edits can take from it, so that alike lines of the block meet again (see _rarest). A pair
 that shares several cut blocks is made in the first of them only. Groups are those that all pairs of a block would give; no line is left out.
 
+Before lines are compared, their parities are: 128 bits, each telling whether an odd number of a line's words falls in its slot. An edit
+changes two words at most, so lines that are alike differ in no more bits than twice their edits, and other pairs are never made into rows.
+
 Lines without words are never dropped. A document that loses all its other lines goes; all else keeps its columns. Nulls:
 a null text passes through; null ids come last in order, by their texts. Rows with one id and one text are one document, whose rows are
 treated alike; rows with one id and different texts are documents of their own, ordered by a hash of the text. Empty tables give
@@ -28,16 +31,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_name, perhaps_in, written
+from .common import forget, free_name, marked_in, perhaps_in, written
 from .components import components
 
 #: Lines of a small block, leaders of a large one, words of a run, runs of a line, bits of a place within a line.
 SMALL, LEADERS, RUN, ANCHORS, PLACES = 64, 8, 4, 5, 24
 #: Rare words up to which a row of a cut block has them all, to tell whether a pair meets in another one, too.
 MANY = 64
+#: Slots of words whose counts tell which are rare.
+SLOTS = 1 << 16
 #: Edits up to which distances are tried first, as a band's cost grows with it.
 FEW = 4
 LAST = (1 << 63) - 1
+PARITY = ("odd_0", "odd_1")
 
 
 #: ASCII marks and white space but the line end and the space, one by one: Java looks single characters up in a table, and tries ranges in turn.
@@ -105,9 +111,24 @@ def lines(docs: DataFrame, similarity: float) -> DataFrame:
     return written(d.select("place", F.when(F.col("n") > 0, F.xxhash64("words")).alias("line_id"), "n", _blocks("words", "n", similarity).alias("blocks"), "line"), "lines", dictionary=False)
 
 
+def _codes(words: Column) -> Column:
+    """A number of 20 bits for each word."""
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000)
+
+
+def _string(codes: Column) -> Column:
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.concat(F.lit("000"), F.hex(c))), "")), "UTF-32")
+
+
 def _coded(words: Column) -> Column:
     """A line's words as a string with one character of 20 bits for each, so that edit distance counts words."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.concat(F.lit("000"), F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000))), "")), "UTF-32")
+    return _string(_codes(words))
+
+
+def _parity(codes: Column, half: int) -> Column:
+    """64 bits that tell whether an odd number of words falls in each slot, for the words of this half."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda odd, c: F.when(c.bitwiseAND(F.lit(64)) == 64 * half, odd.bitwiseXOR(bit(c))).otherwise(odd))
 
 
 def _most(a: str, b: str, similarity: float) -> Column:
@@ -116,16 +137,20 @@ def _most(a: str, b: str, similarity: float) -> Column:
 
 
 def _fit(similarity: float) -> Column:
-    return F.abs(F.col("a_n") - F.col("b_n")) <= _most("a_n", "b_n", similarity)
+    """Whether lengths and parities admit that two lines are alike."""
+    most = _most("a_n", "b_n", similarity)
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in PARITY), F.lit(0))
+    return (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= 2 * most)
 
 
-def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
-    return df.select("key", F.col("line_id").alias(x), F.col("n").alias(f"{x}_n"), *more)
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.select("key", F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITY)))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) of line ids whose lines are alike."""
-    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("coded").alias(f"{x}_coded"), F.col("n").alias(f"{x}_n"))
+    """Those of the distinct pairs (a, b) of line ids, a written table, whose lines are alike."""
+    asked = lambda x: perhaps_in(texts, F.col("line_id"), pairs.select(F.col(x).alias("h")))
+    side = lambda x: asked(x).select(F.col("line_id").alias(x), F.col("coded").alias(f"{x}_coded"), F.col("n").alias(f"{x}_n"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_coded", "b_coded", _most("a_n", "b_n", similarity).alias("most"))
     few = F.expr(f"levenshtein(a_coded, b_coded, least(most, {FEW})) >= 0")
     return both.where(F.when(few, True).otherwise(F.expr("levenshtein(a_coded, b_coded, most) >= 0"))).select("a", "b")
@@ -142,70 +167,98 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return _side(small, "a").join(_side(small, "b"), "key").where((F.col("a") < F.col("b")) & _fit(similarity)).select("a", "b").distinct()
 
 
-def links(table: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between ids of like lines. known: (line_id, place, n, blocks) of each distinct line's first occurrence in the table of lines."""
+def groups(table: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of ids of like lines. known: (line_id, place, n, blocks) of each distinct line's first occurrence in the table of lines."""
     keyed = known.select(F.explode("blocks").alias("key"), "line_id", "n")
     several = written(_several(keyed), "counts")
     shared = written(perhaps_in(keyed, F.col("key"), several.select(F.col("key").alias("h"))).join(several, "key"), "blocks")
-    pairs, large = written(_pairs(shared, similarity), "pairs"), shared.where(F.col("m") > SMALL)
-    needed = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).union(large.select("line_id")).distinct()
-    needed = written(known.select("line_id", "place", "n").join(needed, "line_id"), "needed")
+    needed = written(known.select("line_id", "place", "n").join(shared.select("line_id").distinct(), "line_id"), "needed")
     at = lambda: F.xxhash64("line_id", "place")
     texts = perhaps_in(table.select("line_id", "place", "line"), at(), needed.select(at().alias("h"))).join(needed, ["line_id", "place"])
-    # rows of one id and one text are one document, whose lines are here more than once
-    texts = written(texts.select("line_id", "n", _coded(_words(F.col("line"))).alias("coded")).dropDuplicates(["line_id"]), "coded")
+    # rows of one id and one text are one document, whose lines are here more than once; a line has one place here, and rows are dealt by both
+    texts = texts.dropDuplicates(["line_id", "place"]).select("line_id", "n", _codes(_words(F.col("line"))).alias("codes"))
+    texts = written(texts.select("line_id", "n", _string(F.col("codes")).alias("coded"), *(_parity(F.col("codes"), i).alias(c) for i, c in enumerate(PARITY))), "coded")
+    rows = written(shared.join(texts.select("line_id", *PARITY), "line_id"), "rows")
+    forget(needed, several, shared)
+    pairs, large = written(_pairs(rows, similarity), "pairs"), rows.where(F.col("m") > SMALL).drop("m")
     found = written(_alike(pairs, texts, similarity), "like")
-    forget(pairs, needed, several)
-    return found if large.isEmpty() else _large(large.select("key", "line_id", "n"), texts, found, similarity)
+    out = written(components(found) if large.isEmpty() else _large(large, texts, found, similarity), "groups")
+    forget(pairs, rows, texts, found)
+    return out
 
 
 def _led(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links of LEADERS lines of each block with all its lines."""
-    lead = rows.groupBy("key", F.pmod("line_id", F.lit(LEADERS)).alias("of")).agg(F.min(F.struct("line_id", "n")).alias("o"))
-    lead = lead.select("key", F.col("o.line_id").alias("a"), F.col("o.n").alias("a_n"))
+    lead = rows.groupBy("key", F.pmod("line_id", F.lit(LEADERS)).alias("of")).agg(F.min(F.struct("line_id", "n", *PARITY)).alias("o"))
+    lead = _side(lead.select("key", "o.*"), "a")
     met = lead.join(_side(rows, "b"), "key").where((F.col("a") != F.col("b")) & _fit(similarity))
-    return written(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity), "led")
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    out = written(_alike(pairs, texts, similarity), "led")
+    forget(pairs)
+    return out
+
+
+def _rarity(words: DataFrame) -> bytes:
+    """A byte for each slot of words (ids `words` of distinct words of each line): in how many lines its words are, by quarters of a power of two."""
+    counts = words.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(SLOTS - 1)).alias("id")).agg(F.count("*").alias("c"))
+    byte = F.char((F.least(F.lit(120), F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 4)) + 1).cast("long"))
+    all_slots = words.sparkSession.range(SLOTS).join(counts, "id", "left").select(F.struct("id", byte.alias("b")).alias("s"))
+    return all_slots.agg(F.array_join(F.sort_array(F.collect_list("s"))["b"], "").alias("all")).first()["all"].encode()  # SLOTS bytes at every size
 
 
 def _rarest(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(line_id, w, ws) of each line's rarest words w: one more than edits can take from it, so that alike lines share one of them or have no word in common.
 
+    Any order of words that is the same for all lines will do; here words go by their slots' counts, which is a table of fixed size.
     ws has them all, or is null if they are more than MANY, so that a line's rows stay in proportion to its length.
     """
-    words = written(texts.join(lines, "line_id").select("line_id", "n", F.explode(F.array_distinct(F.split("coded", ""))).alias("w")).withColumn("w", F.ascii("w")), "words")
-    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("c")), "w").groupBy("line_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "w"))).alias("words"))
+    asked = perhaps_in(texts, F.col("line_id"), lines.select(F.col("line_id").alias("h")))
+    words = written(asked.join(lines, "line_id").select("line_id", "n", F.transform(F.array_distinct(F.split("coded", "")), lambda w: F.ascii(w)).alias("words")), "words")
+    table = F.lit(_rarity(words))
+    rank = lambda w: F.ascii(F.substring(table, w.bitwiseAND(F.lit(SLOTS - 1)) + 1, F.lit(1)).cast("string"))
     edits = F.floor(F.col("n") * F.lit((1 - similarity) / similarity) + 1e-6).cast("int")
-    ws = ranked.select("line_id", F.slice("words", F.lit(1), edits + 1)["w"].alias("ws"))
+    first = F.slice(F.sort_array(F.transform("words", lambda w: rank(w).cast("long") * (1 << 20) + w)), F.lit(1), edits + 1)
+    ws = words.select("line_id", F.transform(first, lambda x: x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).alias("ws"))
     out = written(ws.select("line_id", F.explode("ws").alias("w"), F.when(F.size("ws") <= MANY, F.col("ws")).alias("ws")), "rarest")
     forget(words)
     return out
 
 
 def _apart(rows: DataFrame, group: DataFrame) -> DataFrame:
-    """(key, line_id, n, of, open) of the blocks whose lines aren't all of one group: `of` names a line's group, open lines are outside their block's main one."""
+    """(key, line_id, n, parities, of, open) of the blocks whose lines aren't all of one group: `of` names a line's group, open lines are outside their block's main one."""
     of = rows.join(group.select(F.col("node").alias("line_id"), "component"), "line_id", "left").withColumn("of", F.coalesce("component", "line_id")).drop("component")
     of = written(of, "of")
     main = of.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "of"))["of"].alias("main"), F.count("*").alias("groups"))
-    out = written(of.join(main.where("groups > 1"), "key").select("key", "line_id", "n", "of", (F.col("of") != F.col("main")).alias("open")), "apart")
+    out = written(of.join(main.where("groups > 1"), "key").select("key", "line_id", "n", *PARITY, "of", (F.col("of") != F.col("main")).alias("open")), "apart")
     forget(of)
     return out
 
 
 def _large(rows: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Links that connect what found and the large blocks (key, line_id, n) connect."""
+    """Groups (node, component) of what found and the large blocks (key, line_id, n, parities) connect."""
     led = _led(rows, texts, similarity)
     group = written(components(found.union(led)), "led-groups")
     apart = _apart(rows, group)
     keys = apart.groupBy("line_id").agg(F.sort_array(F.collect_set("key")).alias("ks"))
     cut = written(apart.join(_rarest(keys.select("line_id"), texts, similarity), "line_id").join(keys, "line_id"), "cut")
-    side = lambda x: cut.select("key", "w", F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "of", "open", "ws", "ks")))
+    side = lambda x: cut.select("key", "w", F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITY, "of", "open", "ws", "ks")))
     once = F.expr("array_min(array_intersect(a_ks, b_ks)) = key and coalesce(array_min(array_intersect(a_ws, b_ws)) = w, true)")
     meet = F.expr("a_of <> b_of and (not b_open or a < b)") & _fit(similarity) & once
     pairs = side("a").where("a_open").join(side("b"), ["key", "w"]).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
     more = written(_alike(pairs, texts, similarity), "like")
     forget(led, apart, cut, pairs)
-    return group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    return _joined(group, more)
+
+
+def _joined(group: DataFrame, more: DataFrame) -> DataFrame:
+    """Groups (node, component), with those that more links (a, b) connect as one: only whole groups are linked anew."""
+    of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"{x}_of"))
+    linked = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    whole = written(components(linked), "whole").select(F.col("node").alias("of"), F.col("component").alias("whole"))
+    old = group.join(whole, group["component"] == whole["of"], "left").select("node", F.coalesce("whole", "component").alias("component"))
+    new = whole.join(group, whole["of"] == group["component"], "left_anti").select("of", "whole")
+    return old.union(new)
 
 
 def dropped(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
@@ -213,7 +266,7 @@ def dropped(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     table = lines(docs, similarity)
     known = table.where("line_id is not null").groupBy("line_id").agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("blocks").alias("blocks"))
     known = written(known, "distinct")
-    group = written(components(links(table, known, similarity)), "groups")
+    group = groups(table, known, similarity)
     grouped = group.join(known.select("line_id", "place"), group["node"] == F.col("line_id")).select("component", "line_id", "place")
     kept = written(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
     alone = known.where("c > 1").join(group, F.col("line_id") == group["node"], "left_anti").select("line_id", F.col("place").alias("kept"))
@@ -237,9 +290,13 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
         raise ValueError("similarity must be over 0.5 and at most 1")
     doc, key, flags, left = (free_name(docs, x) for x in ("doc", "text_key", "flags", "left"))
     gone = dropped(docs.select("doc_id", "text"), similarity).select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("flags").alias(flags))
-    both = docs.withColumns({doc: _doc("doc_id"), key: _text_key("text")}).join(gone, [doc, key], "left")
+    # only documents that may lose a line are shuffled, by the same join at every size: what is sent grows with the input alone
+    may = free_name(docs, "may")
+    keyed = marked_in(docs.withColumns({doc: _doc("doc_id"), key: _text_key("text")}), F.xxhash64(doc, key), gone.select(F.xxhash64(doc, key).alias("h")), may)
+    rest = keyed.where(~F.col(may)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    both = keyed.where(may).join(gone.hint("merge"), [doc, key], "left")
     keeps = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col(flags), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     both = both.withColumn(left, F.when(F.col(flags).isNull(), F.col("text")).otherwise(keeps))
     words = F.col(left).rlike(r"[^\x09-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
     both = both.where(F.col(flags).isNull() | words)
-    return both.select(*(F.col(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return rest.union(both.select(*(F.col(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)))

@@ -204,3 +204,25 @@ def test_alike_lines_share_a_rare_word(spark):
     for r in L._rarest(texts.select("line_id"), texts, 0.9).collect():
         rare.setdefault(r.line_id, set()).add(r.w)
     assert all(rare[3 * i] & rare[3 * i + j] for i in range(60) for j in (1, 2))
+
+
+def test_parities_admit_all_alike_lines(spark, monkeypatch):
+    """Pairs within the edits that a link allows pass by their parities; of unlike members of one family few do, so that rows follow the links."""
+    monkeypatch.setattr(L, "SMALL", 8)
+    rng = random.Random(12)
+    base = H.sentence(rng, 40)
+    lines = [base] + H.near_copies(rng, base, 120, (1, 8))
+    seen = []
+    alike = L._alike
+    monkeypatch.setattr(L, "_alike", lambda pairs, *rest: seen.append(pairs.count()) or alike(pairs, *rest))
+    assert _groups(spark, lines) == _all_pairs(lines)
+    words = [_norm(x).split() for x in lines]
+    true = sum(_lev(words[i], words[j]) <= 4 for i in range(len(lines)) for j in range(i))
+    assert sum(seen) <= 1.2 * true
+
+
+def test_groups_joined_by_more_links(spark):
+    group = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    more = spark.createDataFrame([(2, 6), (3, 9), (10, 11), (5, 6)], "a long, b long")
+    got = sorted((r.node, r.component) for r in L._joined(group, more).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1), (8, 3), (9, 3), (10, 10), (11, 10)]
