@@ -44,6 +44,8 @@ SLOTS = 1 << 16
 FEW = 4
 LAST = (1 << 63) - 1
 PARITY = ("odd_0", "odd_1")
+#: Keys of a line's blocks: of its two ends, and of its runs.
+BLOCKS = ("end_0", "end_1", *(f"run_{i}" for i in range(ANCHORS)))
 
 
 #: ASCII marks and white space but the line end and the space, one by one: Java looks single characters up in a table, and tries ranges in turn.
@@ -77,14 +79,18 @@ def _place(doc: str, key: str, line: str) -> Column:
     return F.col(doc).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + within.cast("decimal(19,0)")
 
 
-def _runs(words: str, n: str, run: int) -> Column:
-    """Keys of the runs of `run` words that begin at the words of the least hashes; a place is kept in the low bits of a hash."""
+def _anchors(words: str) -> Column:
+    """The places of the words of the least hashes, in the low bits of the hashes."""
     low = (1 << PLACES) - 1
     hashed = F.transform(F.col(words), lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
-    least = F.slice(F.sort_array(hashed), F.lit(1), F.lit(ANCHORS))
+    return F.slice(F.sort_array(hashed), F.lit(1), F.lit(ANCHORS))
+
+
+def _start(n: str, anchors: str, i: int) -> Column:
+    """The place where the run of an anchor begins, of the first one if there are not so many."""
+    at = F.coalesce(F.get(anchors, F.lit(i)), F.get(anchors, F.lit(0))).bitwiseAND(F.lit((1 << PLACES) - 1))
     # a run that would go beyond the end is the line's last one
-    start = lambda a: F.greatest(F.lit(0), F.least(a.bitwiseAND(F.lit(low)), F.col(n) - run)).cast("int") + 1
-    return F.array_distinct(F.transform(least, lambda a: F.xxhash64(F.slice(F.col(words), start(a), F.lit(run)))))
+    return F.greatest(F.lit(0), F.least(at, F.col(n) - RUN)).cast("int")
 
 
 def _least(edits: int, similarity: float) -> int:
@@ -92,32 +98,40 @@ def _least(edits: int, similarity: float) -> int:
     return next((n for n in range(1, 1 << 16) if int(n * (1 - similarity) + 1e-9) >= edits), 1 << 30)
 
 
-def _blocks(words: str, n: str, similarity: float) -> Column:
-    """Keys of a line's blocks; none for lines that are alike only if equal."""
+def _blocks(d: DataFrame, similarity: float) -> DataFrame:
+    """d (words, n and others) with keys of a line's blocks in columns BLOCKS, which hash aggregation can carry as it can't carry arrays; all null for lines that are alike only if equal.
+
+    The steps are projections of their own, so that anchors and starts are computed once and no compiled method is too long for Java to compile further.
+    """
     one, two = _least(1, similarity), _least(2, similarity)
-    half = max(1, one // 2)
-    end = lambda start, tag: F.xxhash64(F.lit(tag), F.slice(F.col(words), start, F.lit(half)))
-    ends = F.array(end(F.lit(1), 1), end(F.greatest(F.col(n) - (half - 1), F.lit(1)), 2))
-    runs = _runs(words, n, RUN)
-    none = F.array().cast("array<bigint>")
-    return F.when(F.col(n) < one - 1, none).when(F.col(n) < two - 2, ends).when(F.col(n) < two, F.concat(ends, runs)).otherwise(runs)
+    half, n = max(1, one // 2), F.col("n")
+    anchors, *starts = (free_name(d, x) for x in ("anchors", *(f"start_{i}" for i in range(ANCHORS))))
+    end = lambda start, tag: F.when((n >= one - 1) & (n < two), F.xxhash64(F.lit(tag), F.slice(F.col("words"), start, F.lit(half))))
+    ends = end(F.lit(1), 1), end(F.greatest(n - (half - 1), F.lit(1)), 2)
+    d = d.withColumns({**dict(zip(BLOCKS, ends)), anchors: F.when((n > 0) & (n >= max(one - 1, two - 2)), _anchors("words"))})
+    d = d.withColumns({x: _start("n", anchors, i) for i, x in enumerate(starts)})
+    # word by word, which gives the same as a hash of an array
+    runs = (F.xxhash64(*(F.get("words", F.col(x) + j) for j in range(RUN))) for x in starts)
+    return d.withColumns({b: F.when(F.col(anchors).isNotNull(), r) for b, r in zip(BLOCKS[2:], runs)}).drop(anchors, *starts)
 
 
 def lines(docs: DataFrame, similarity: float) -> DataFrame:
-    """(place, line_id, n, blocks, line) of every line: n counts words, line is the plain line; line_id is null where a line has no words."""
+    """(place, line_id, n, BLOCKS, line) of every line: n counts words, line is the plain line; line_id is null where a line has no words."""
     d = docs.where(F.col("text").isNotNull()).select(_doc("doc_id").alias("doc"), _text_key("text").alias("text_key"), F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
     d = d.select(_place("doc", "text_key", "line_no").alias("place"), "line", _words(F.col("line")).alias("words"))
     d = d.select("place", "line", "words", F.size("words").alias("n"))
-    return written(d.select("place", F.when(F.col("n") > 0, F.xxhash64("words")).alias("line_id"), "n", _blocks("words", "n", similarity).alias("blocks"), "line"), "lines", dictionary=False)
+    d = _blocks(d.withColumn("line_id", F.when(F.col("n") > 0, F.xxhash64("words"))), similarity)
+    return written(d.select("place", "line_id", "n", *BLOCKS, "line"), "lines", dictionary=False)
 
 
 def _codes(words: Column) -> Column:
     """A number of 20 bits for each word."""
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000)
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(0xF0000)).cast("int") + 0x10000)
 
 
 def _string(codes: Column) -> Column:
-    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.concat(F.lit("000"), F.hex(c))), "")), "UTF-32")
+    """One character for each number, of five hexadecimal digits, by way of eight."""
+    return F.when(F.size(codes) > 0, F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(codes, F.hex), "000"))), "UTF-32")).otherwise("")
 
 
 def _coded(words: Column) -> Column:
@@ -125,10 +139,11 @@ def _coded(words: Column) -> Column:
     return _string(_codes(words))
 
 
-def _parity(codes: Column, half: int) -> Column:
-    """64 bits that tell whether an odd number of words falls in each slot, for the words of this half."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda odd, c: F.when(c.bitwiseAND(F.lit(64)) == 64 * half, odd.bitwiseXOR(bit(c))).otherwise(odd))
+def _parities(d: DataFrame) -> DataFrame:
+    """d with PARITY: for each of 128 slots, whether an odd number of words (column codes) falls in it. A shift takes the low six bits of a code, the seventh tells the half."""
+    odd = lambda bit: F.aggregate("codes", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(F.call_function("shiftleft", bit(c), c)))
+    d = d.withColumns({PARITY[0]: odd(lambda c: F.lit(1).cast("long")), PARITY[1]: odd(lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)).cast("long"))})
+    return d.withColumn(PARITY[0], F.col(PARITY[0]).bitwiseXOR(F.col(PARITY[1])))
 
 
 def _most(a: str, b: str, similarity: float) -> Column:
@@ -168,17 +183,17 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def groups(table: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of ids of like lines. known: (line_id, place, n, blocks) of each distinct line's first occurrence in the table of lines."""
-    keyed = known.select(F.explode("blocks").alias("key"), "line_id", "n")
+    """(node, component) of ids of like lines. known: (line_id, place, n, BLOCKS) of each distinct line's first occurrence in the table of lines."""
+    keyed = known.select(F.explode(F.array_distinct(F.array(*BLOCKS))).alias("key"), "line_id", "n", "place").where("key is not null")
     several = written(_several(keyed), "counts")
     shared = written(perhaps_in(keyed, F.col("key"), several.select(F.col("key").alias("h"))).join(several, "key"), "blocks")
-    needed = written(known.select("line_id", "place", "n").join(shared.select("line_id").distinct(), "line_id"), "needed")
+    needed = written(shared.select("line_id", "place", "n").distinct(), "needed")
     at = lambda: F.xxhash64("line_id", "place")
     texts = perhaps_in(table.select("line_id", "place", "line"), at(), needed.select(at().alias("h"))).join(needed, ["line_id", "place"])
     # rows of one id and one text are one document, whose lines are here more than once; a line has one place here, and rows are dealt by both
     texts = texts.dropDuplicates(["line_id", "place"]).select("line_id", "n", _codes(_words(F.col("line"))).alias("codes"))
-    texts = written(texts.select("line_id", "n", _string(F.col("codes")).alias("coded"), *(_parity(F.col("codes"), i).alias(c) for i, c in enumerate(PARITY))), "coded")
-    rows = written(shared.join(texts.select("line_id", *PARITY), "line_id"), "rows")
+    texts = written(_parities(texts).select("line_id", "n", _string(F.col("codes")).alias("coded"), *PARITY), "coded")
+    rows = written(shared.drop("place").join(texts.select("line_id", *PARITY), "line_id"), "rows")
     forget(needed, several, shared)
     pairs, large = written(_pairs(rows, similarity), "pairs"), rows.where(F.col("m") > SMALL).drop("m")
     found = written(_alike(pairs, texts, similarity), "like")
@@ -213,7 +228,7 @@ def _rarest(lines: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     ws has them all, or is null if they are more than MANY, so that a line's rows stay in proportion to its length.
     """
     asked = perhaps_in(texts, F.col("line_id"), lines.select(F.col("line_id").alias("h")))
-    words = written(asked.join(lines, "line_id").select("line_id", "n", F.transform(F.array_distinct(F.split("coded", "")), lambda w: F.ascii(w)).alias("words")), "words")
+    words = written(asked.join(lines, "line_id").select("line_id", "n", F.array_distinct(F.transform(F.split("coded", ""), lambda w: F.ascii(w))).alias("words")), "words")
     table = F.lit(_rarity(words))
     rank = lambda w: F.ascii(F.substring(table, w.bitwiseAND(F.lit(SLOTS - 1)) + 1, F.lit(1)).cast("string"))
     edits = F.floor(F.col("n") * F.lit((1 - similarity) / similarity) + 1e-6).cast("int")
@@ -239,10 +254,10 @@ def _large(rows: DataFrame, texts: DataFrame, found: DataFrame, similarity: floa
     led = _led(rows, texts, similarity)
     group = written(components(found.union(led)), "led-groups")
     apart = _apart(rows, group)
-    keys = apart.groupBy("line_id").agg(F.sort_array(F.collect_set("key")).alias("ks"))
+    keys = apart.groupBy("line_id").agg(F.sort_array(F.collect_set("key")).alias("ks")).select("line_id", F.when(F.size("ks") > 1, F.col("ks")).alias("ks"))
     cut = written(apart.join(_rarest(keys.select("line_id"), texts, similarity), "line_id").join(keys, "line_id"), "cut")
     side = lambda x: cut.select("key", "w", F.col("line_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *PARITY, "of", "open", "ws", "ks")))
-    once = F.expr("array_min(array_intersect(a_ks, b_ks)) = key and coalesce(array_min(array_intersect(a_ws, b_ws)) = w, true)")
+    once = F.expr("coalesce(array_min(array_intersect(a_ks, b_ks)) = key, true) and coalesce(array_min(array_intersect(a_ws, b_ws)) = w, true)")
     meet = F.expr("a_of <> b_of and (not b_open or a < b)") & _fit(similarity) & once
     pairs = side("a").where("a_open").join(side("b"), ["key", "w"]).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
@@ -264,14 +279,15 @@ def _joined(group: DataFrame, more: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     """(doc, text_key, flags): for every document that loses a line, a byte for each line up to the last that goes, 1 if it goes."""
     table = lines(docs, similarity)
-    known = table.where("line_id is not null").groupBy("line_id").agg(F.min("place").alias("place"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("blocks").alias("blocks"))
+    known = table.where("line_id is not null").groupBy("line_id").agg(F.min("place").alias("place"), F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("n", *BLOCKS)))
     known = written(known, "distinct")
     group = groups(table, known, similarity)
     grouped = group.join(known.select("line_id", "place"), group["node"] == F.col("line_id")).select("component", "line_id", "place")
     kept = written(grouped.groupBy("component").agg(F.min("place").alias("kept")), "kept")
     alone = known.where("c > 1").join(group, F.col("line_id") == group["node"], "left_anti").select("line_id", F.col("place").alias("kept"))
     rule = written(grouped.join(kept, "component").select("line_id", "kept").union(alone), "rules")
-    gone = table.select("line_id", "place").join(rule, "line_id").where("place <> kept").select("place")
+    repeated = perhaps_in(table.select("line_id", "place"), F.col("line_id"), rule.select(F.col("line_id").alias("h")))
+    gone = repeated.join(rule, "line_id").where("place <> kept").select("place")
     base = F.lit(1 << 62).cast("decimal(19,0)")
     within = F.pmod("place", base)
     gone = gone.select(((F.col("place") - within) / base).cast("long").alias("doc"), within.cast("long").alias("within"))
@@ -294,7 +310,8 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.9) -> DataFrame:
     may = free_name(docs, "may")
     keyed = marked_in(docs.withColumns({doc: _doc("doc_id"), key: _text_key("text")}), F.xxhash64(doc, key), gone.select(F.xxhash64(doc, key).alias("h")), may)
     rest = keyed.where(~F.col(may)).select(*(F.col(f"`{c}`") for c in docs.columns))
-    both = keyed.where(may).join(gone.hint("merge"), [doc, key], "left")
+    # flags are a byte a line and unique, so they are what a task holds, and texts are not sorted
+    both = keyed.where(may).join(gone.hint("shuffle_hash"), [doc, key], "left")
     keeps = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col(flags), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     both = both.withColumn(left, F.when(F.col(flags).isNull(), F.col("text")).otherwise(keeps))
     words = F.col(left).rlike(r"[^\x09-\x0d\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")

@@ -226,3 +226,40 @@ def test_groups_joined_by_more_links(spark):
     more = spark.createDataFrame([(2, 6), (3, 9), (10, 11), (5, 6)], "a long, b long")
     got = sorted((r.node, r.component) for r in L._joined(group, more).collect())
     assert got == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1), (8, 3), (9, 3), (10, 10), (11, 10)]
+
+
+def test_distinct_lines_are_told_without_sorting(spark, monkeypatch):
+    """Keys of blocks are columns that hash aggregation can carry; anchors are sorted once, and no compiled method is longer than Java compiles further."""
+    frames = {}
+    written = L.written
+    monkeypatch.setattr(L, "written", lambda df, name="table", **rest: frames.setdefault(name, df) and written(df, name, **rest))
+    rng = random.Random(13)
+    L.dedup_lines(H.docs(spark, [H.sentence(rng, n) for n in (5, 12, 18, 30)]))
+    plan = lambda name: frames[name]._jdf.queryExecution().executedPlan()
+    assert "SortAggregate" not in plan("distinct").toString()
+    assert sum("sort_array" in x for x in plan("lines").toString().split("\n")) == 1
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan("lines"))
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_keys_are_hashes_of_ends_and_runs(spark):
+    """Up to 8 words: none; up to 17: both ends; 18 and 19: ends and runs; from 20 on runs, each of four words in a row, as many as ANCHORS."""
+    rng = random.Random(14)
+    lines = [H.sentence(rng, n, 400).lower() for n in (8, 9, 17, 18, 19, 20, 60)] + ["a b " * 15]
+    got = L.lines(H.docs(spark, lines), 0.9).collect()
+    assert len(got) == len(lines)
+    for r in got:
+        words = _norm(r.line).split()
+        assert r.n == len(words)
+        pieces = lambda k: [words[i : i + k] for i in range(len(words) - k + 1)]
+        hashed = lambda rows, *tag: {x.h for x in spark.createDataFrame([(p,) for p in rows], "p array<string>").select(F.xxhash64(*(F.lit(t) for t in tag), "p").alias("h")).collect()}
+        ends, runs = [r[b] for b in L.BLOCKS[:2]], [r[b] for b in L.BLOCKS[2:]]
+        if 9 <= r.n < 20:
+            assert {ends[0]} == hashed(pieces(5)[:1], 1) and {ends[1]} == hashed(pieces(5)[-1:], 2)
+        else:
+            assert ends == [None, None]
+        if r.n >= 18:
+            assert set(runs) <= hashed(pieces(4)) and (r.n != 60 or len(set(runs)) == L.ANCHORS)
+        else:
+            assert set(runs) == {None}
